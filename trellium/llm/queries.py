@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import token_codec
+from . import exact_dedup, mixing, token_codec
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,9 +17,57 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_codec.encode_checked(_read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.chosen(_read(spark, sf_dir, "documents"))
+
+
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.kept(_read(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_codec.count_tokens(_read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe_codec": op1_bpe_codec, "op8_token_counts": op8_token_counts}
-ORACLE_SQL: dict[str, str] = {}
+def mix_sql(plan: mixing.Plan = mixing.Plan(), docs: str = "documents") -> str:
+    """The mix in SQL: waterfilling by windows at each level, then the prefix of one seeded order a leaf."""
+    case = lambda col, t: f"CASE {' '.join(f"WHEN {col} = '{k}' THEN {v}" for k, v in t.items())} ELSE {plan.other} END"
+
+    def share(nodes: str, parents: str, name: str) -> str:
+        by = f"PARTITION BY {parents}" if parents else ""
+        return f"""(SELECT * EXCLUDE (cap, w, c0, w0, fits, cf, wo, budget), CASE WHEN fits THEN cap ELSE CAST((CAST(budget AS HUGEINT) - coalesce(cf, 0)) * w // nullif(wo, 0) AS BIGINT) END AS budget FROM (
+          SELECT *, sum(CASE WHEN fits THEN cap END) OVER ({by}) AS cf, sum(CASE WHEN NOT fits THEN w END) OVER ({by}) AS wo FROM (
+          SELECT *, CAST(cap AS HUGEINT) * w0 + CAST(c0 AS HUGEINT) * w <= CAST(budget AS HUGEINT) * w AS fits FROM (
+          SELECT *, coalesce(sum(cap) OVER ({by} ORDER BY cap / w, {name} NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c0,
+            sum(w) OVER ({by} ORDER BY cap / w, {name} NULLS FIRST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w0 FROM {nodes}))))"""
+
+    place = f"md5(concat_ws(':', '{plan.seed}', CAST(whole AS VARCHAR), coalesce(CAST(doc_id AS VARCHAR), '?')))"
+    return f"""WITH m AS (SELECT doc_id, lang, source, CASE WHEN coalesce(regexp_extract(source, '([0-9]+)$', 1), '') = '' THEN 'other'
+        ELSE 'd' || CAST(CAST(regexp_extract(source, '([0-9]+)$', 1) AS HUGEINT) % {plan.domains} AS VARCHAR) END AS domain,
+        coalesce(len(regexp_extract_all(text, '[^ \t\n\r]+')), 0) AS t FROM {docs}),
+      leaf AS (SELECT domain, lang, source, CAST(sum(t) AS BIGINT) AS supply FROM m GROUP BY ALL),
+      d0 AS (SELECT domain, CAST(sum(supply) * {plan.max_epochs} AS BIGINT) AS cap, {case("domain", plan.domain_weights)} AS w,
+        (SELECT CAST(sum(supply) * {plan.numerator} // {plan.denominator} AS BIGINT) FROM leaf) AS budget FROM leaf GROUP BY domain),
+      d AS (SELECT * FROM {share("d0", "", "domain")}),
+      l0 AS (SELECT domain, lang, CAST(sum(supply) * {plan.max_epochs} AS BIGINT) AS cap, {case("lang", plan.lang_weights)} AS w, any_value(budget) AS budget FROM leaf JOIN d USING (domain) GROUP BY domain, lang),
+      l AS (SELECT * FROM {share("l0", "domain", "lang")}),
+      s0 AS (SELECT leaf.domain, leaf.lang, source, supply, supply * {plan.max_epochs} AS cap, {plan.other} AS w, budget FROM leaf JOIN l ON leaf.domain = l.domain AND leaf.lang IS NOT DISTINCT FROM l.lang),
+      s AS (SELECT * FROM {share("s0", "domain, lang", "source")}),
+      q AS (SELECT *, CASE WHEN supply > 0 THEN budget - whole * supply ELSE -1 END AS part FROM (SELECT *, CASE WHEN supply > 0 THEN least(budget // supply, {plan.max_epochs}) ELSE 1 END AS whole FROM s)),
+      p AS (SELECT m.*, whole, part, sum(t) OVER (PARTITION BY m.domain, m.lang, m.source ORDER BY {place} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+        FROM m JOIN q ON m.domain = q.domain AND m.lang IS NOT DISTINCT FROM q.lang AND m.source IS NOT DISTINCT FROM q.source),
+      n AS (SELECT *, whole + CASE WHEN whole < {plan.max_epochs} AND upto <= part THEN 1 ELSE 0 END AS n FROM p)
+      SELECT doc_id, domain, lang, source, CAST(t AS BIGINT) AS mix_tokens, CAST(e AS INTEGER) AS epoch FROM n, LATERAL (SELECT unnest(range(n)) AS e)"""
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe_codec": op1_bpe_codec,
+    "op4_source_mix": op4_source_mix,
+    "op7_exact_dedup": op7_exact_dedup,
+    "op8_token_counts": op8_token_counts,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op4_source_mix": mix_sql(),
+    "op7_exact_dedup": """SELECT min(doc_id) AS doc_id, sha256(text) AS digest, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY text
+        UNION ALL SELECT doc_id, NULL, 1 FROM documents WHERE text IS NULL""",
+}
