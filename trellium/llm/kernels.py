@@ -7,7 +7,7 @@ space.  Hashes are 64-bit; equal word sequences always have equal hashes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +18,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes of text that one round of array passes takes; a longer text is a round of its own.
 CHUNK_BYTES = 1 << 20
+#: Bytes of text in one batch that a worker hands back.
+SLICE_BYTES = 4 << 20
 
 
 def _powers(n: int) -> np.ndarray:
@@ -72,6 +74,15 @@ def rounds(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         lo = hi
 
 
+def sliced(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `limit` bytes of one column, so that what is made of them stays small."""
+    for batch in batches:
+        size = batch.column(column).nbytes
+        step = max(1, int(batch.num_rows * limit / max(size, 1)))
+        for i in range(0, max(batch.num_rows, 1), step):
+            yield batch.slice(i, step)
+
+
 class Words:
     """Words of some consecutive texts: `start` and `size` in bytes, `hash`, and `first[d]:first[d+1]` for text d."""
 

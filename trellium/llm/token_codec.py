@@ -14,11 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from . import bpe
+from . import bpe, kernels
 
 
-def _append(df: DataFrame, path: str, results: list[tuple[str, T.DataType]], work) -> DataFrame:
-    """df with columns that work(codec, batch) makes; the vocabulary is read once on the driver and broadcast (it doesn't grow)."""
+def _append(df: DataFrame, path: str, text: str, results: list[tuple[str, T.DataType]], work) -> DataFrame:
+    """df with columns that work(codec, batch) makes from column `text`; the vocabulary is read once on the driver and broadcast (it doesn't grow)."""
     ranks = df.sparkSession.sparkContext.broadcast(bpe.read_ranks(path))
     name = f"{path}:{len(ranks.value)}"
     taken = {n for n, _ in results}
@@ -28,7 +28,7 @@ def _append(df: DataFrame, path: str, results: list[tuple[str, T.DataType]], wor
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = bpe.worker_codec(name, lambda: ranks.value)
-        for batch in batches:
+        for batch in kernels.sliced(batches, text):
             made = work(codec, batch)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], names=[*keep, *(n for n, _ in results)])
 
@@ -42,12 +42,12 @@ def encode(df: DataFrame, text: str = "text", tokens: str = "tokens", count: str
         ids = codec.encode(batch.column(text))
         return [ids, pa.compute.list_value_length(ids).cast(pa.int64())]
 
-    return _append(df, vocabulary, [(tokens, T.ArrayType(T.IntegerType())), (count, T.LongType())], work)
+    return _append(df, vocabulary, text, [(tokens, T.ArrayType(T.IntegerType())), (count, T.LongType())], work)
 
 
 def decode(df: DataFrame, tokens: str = "tokens", text: str = "text", vocabulary: str = bpe.VOCABULARY) -> DataFrame:
     """df with the text that token ids stand for."""
-    return _append(df, vocabulary, [(text, T.StringType())], lambda codec, batch: [codec.decode(batch.column(tokens)).cast(pa.string())])
+    return _append(df, vocabulary, tokens, [(text, T.StringType())], lambda codec, batch: [codec.decode(batch.column(tokens)).cast(pa.string())])
 
 
 def encode_checked(df: DataFrame, text: str = "text", tokens: str = "tokens", count: str = "n_tokens", lossless: str = "lossless", vocabulary: str = bpe.VOCABULARY) -> DataFrame:
@@ -59,9 +59,9 @@ def encode_checked(df: DataFrame, text: str = "text", tokens: str = "tokens", co
         same = pa.compute.equal(codec.decode(ids), col.cast(pa.large_string()))
         return [ids, pa.compute.list_value_length(ids).cast(pa.int64()), same]
 
-    return _append(df, vocabulary, [(tokens, T.ArrayType(T.IntegerType())), (count, T.LongType()), (lossless, T.BooleanType())], work)
+    return _append(df, vocabulary, text, [(tokens, T.ArrayType(T.IntegerType())), (count, T.LongType()), (lossless, T.BooleanType())], work)
 
 
 def count_tokens(df: DataFrame, text: str = "text", count: str = "n_tokens", vocabulary: str = bpe.VOCABULARY) -> DataFrame:
     """df with the number of tokens of each text; no ids are made."""
-    return _append(df, vocabulary, [(count, T.LongType())], lambda codec, batch: [codec.count(batch.column(text))])
+    return _append(df, vocabulary, text, [(count, T.LongType())], lambda codec, batch: [codec.count(batch.column(text))])
