@@ -131,20 +131,18 @@ def per_text_ngrams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     whole = np.zeros(len(w.hash), bool)
     if n <= len(w.hash):
         whole[: len(w.hash) - n + 1] = True
-    edge = np.zeros(len(w.hash) + 1, np.int64)
     for d in np.flatnonzero(count):
         a, b = w.first[d], w.first[d + 1]
         whole[max(a, b - n + 1) : b] = False
-        edge[d] = a
     every = ngrams(w.hash, n)
     long = np.repeat(count >= n, grams)
     out[long] = every[whole[: len(every)]]
     for d in np.flatnonzero((count > 0) & (count < n)):
         a, b = w.first[d], w.first[d + 1]
-        h = U(b - a)
-        for x in w.hash[a:b]:
-            h = mix(np.array([h * U(0xD6E8FEB86659FD93) + x], U))[0]
-        out[first[d]] = h
+        h = np.array([b - a], U)
+        for i in range(a, b):
+            h = mix(h * U(0xD6E8FEB86659FD93) + w.hash[i : i + 1])
+        out[first[d]] = h[0]
     return out, first
 
 

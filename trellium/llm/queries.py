@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, resampling, token_codec
+from . import exact_dedup, mixing, ngram_join, resampling, token_codec
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op9_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(_read(spark, sf_dir, "documents").select("doc_id", "text", "lang"), _read(spark, sf_dir, "labels")).select("doc_id", "log_weight", "key")
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_read(spark, sf_dir, "documents"))
+
+
 def mix_sql(plan: mixing.Plan = mixing.Plan(), docs: str = "documents") -> str:
     """The mix in SQL: waterfilling by windows at each level, then the prefix of one seeded order a leaf."""
     case = lambda col, t: f"CASE {' '.join(f"WHEN {col} = '{k}' THEN {v}" for k, v in t.items())} ELSE {plan.other} END"
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_exact_dedup": op7_exact_dedup,
     "op8_token_counts": op8_token_counts,
     "op9_quality_resampling": op9_quality_resampling,
+    "op10_ngram_join": op10_ngram_join,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_source_mix": mix_sql(),
