@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import kernels, shared, vectors
+from . import kernels, packed, shared, vectors
 
 
 @dataclass(frozen=True)
@@ -79,36 +79,9 @@ def need(size: np.ndarray, threshold: float) -> np.ndarray:
     return size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
 
 
-SCHEMA = "kind int, part int, uid bigint, size int, a binary, b binary, c binary"
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
-    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["kind", "part", "uid", "size", "a", "b", "c"])
-
-
-def _by_part(kind: int, keys: np.ndarray, parts: int, arrays: list[np.ndarray]) -> list[tuple]:
-    """One row for each part that has any of the keys, with its slices of the arrays as bytes."""
-    part = (kernels.mix(keys.view(U)) % U(parts)).astype(np.int32)
-    order = np.argsort(part, kind="stable")
-    bounds = np.searchsorted(part[order], np.arange(parts + 1))
-    packed = [a[order] for a in arrays]
-    empty = [b""] * (3 - len(arrays))
-    return [(kind, p, 0, 0, *(x[bounds[p] : bounds[p + 1]].tobytes() for x in packed), *empty) for p in np.flatnonzero(np.diff(bounds)).tolist()]
-
-
 RARE, DOC, FREQUENT, SIGNATURE, SET = range(5)
 
 
-def _columns(b: pa.RecordBatch) -> Iterator[tuple]:
-    return zip(*(b.column(i).to_pylist() for i in range(7)), strict=True)
-
-
-def _cat(blobs: list[bytes], kind) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), kind)
-
-
 def _emit(docs: DataFrame, classes: np.ndarray, plan: Plan, parts: int) -> DataFrame:
     """RARE rows (hash, uid) by hash; DOC rows (uid, size) and FREQUENT rows (uid, hash, class) by uid."""
     known = docs.sparkSession.sparkContext.broadcast(classes)
@@ -122,13 +95,13 @@ def _emit(docs: DataFrame, classes: np.ndarray, plan: Plan, parts: int) -> DataF
                 who = np.repeat(own, size)
                 kind = known.value[(grams >> U(64 - plan.bits)).astype(np.int64)]
                 rare = kind == 1
-                rows = _by_part(RARE, grams[rare], parts, [grams[rare], who[rare]])
-                rows += _by_part(DOC, own[size > 0], parts, [own[size > 0], size[size > 0]])
+                rows = packed.by_part(RARE, grams[rare], parts, [grams[rare], who[rare]])
+                rows += packed.by_part(DOC, own[size > 0], parts, [own[size > 0], size[size > 0]])
                 if not rare.all():
-                    rows += _by_part(FREQUENT, who[~rare], parts, [who[~rare], grams[~rare], kind[~rare].astype(np.int64)])
-                yield _batch(rows)
+                    rows += packed.by_part(FREQUENT, who[~rare], parts, [who[~rare], grams[~rare], kind[~rare].astype(np.int64)])
+                yield packed.batch(rows)
 
-    return docs.mapInArrow(run, SCHEMA)
+    return docs.mapInArrow(run, packed.SCHEMA)
 
 
 def _count(df: DataFrame, parts: int) -> DataFrame:
@@ -138,15 +111,15 @@ def _count(df: DataFrame, parts: int) -> DataFrame:
         hashes, uids = [], []
         for b in batches:
             rest = []
-            for r in _columns(b):
+            for r in packed.columns(b):
                 if r[0] == RARE:
                     hashes.append(r[4])
                     uids.append(r[5])
                 else:
                     rest.append(r)
             if rest:
-                yield _batch(rest)
-        h, u = _cat(hashes, U), _cat(uids, np.int64)
+                yield packed.batch(rest)
+        h, u = packed.cat(hashes, U), packed.cat(uids, np.int64)
         del hashes, uids
         order = np.argsort(h, kind="stable")
         h, u = h[order], u[order]
@@ -165,9 +138,9 @@ def _count(df: DataFrame, parts: int) -> DataFrame:
             for i in range(0, len(h), 1 << 20):
                 s = slice(i, i + (1 << 20))
                 k = keep[s]
-                yield _batch(_by_part(RARE, u[s][k], parts, [u[s][k], h[s][k], each[s][k]]))
+                yield packed.batch(packed.by_part(RARE, u[s][k], parts, [u[s][k], h[s][k], each[s][k]]))
 
-    return df.mapInArrow(run, SCHEMA)
+    return df.mapInArrow(run, packed.SCHEMA)
 
 
 def signatures(u: np.ndarray, sizes: np.ndarray, who: np.ndarray, grams: np.ndarray, kind: np.ndarray, first: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -212,7 +185,7 @@ def _prefixes(df: DataFrame, plan: Plan, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, size, who, grams, order, kind = [], [], [], [], [], []
         for b in batches:
-            for r in _columns(b):
+            for r in packed.columns(b):
                 if r[0] == DOC:
                     doc.append(r[4])
                     size.append(r[5])
@@ -226,11 +199,11 @@ def _prefixes(df: DataFrame, plan: Plan, parts: int) -> DataFrame:
                     grams.append(r[5])
                     order.append(np.zeros(len(r[4]) // 8, np.int64).tobytes())
                     kind.append(r[6])
-        ids, first = np.unique(_cat(doc, np.int64), return_index=True)
+        ids, first = np.unique(packed.cat(doc, np.int64), return_index=True)
         if not len(ids):
             return
-        sizes = _cat(size, np.int64)[first]
-        w, g, f, k = np.searchsorted(ids, _cat(who, np.int64)), _cat(grams, U), _cat(order, np.int64), _cat(kind, np.int64)
+        sizes = packed.cat(size, np.int64)[first]
+        w, g, f, k = np.searchsorted(ids, packed.cat(who, np.int64)), packed.cat(grams, U), packed.cat(order, np.int64), packed.cat(kind, np.int64)
         by = np.lexsort((g, f, k, w))
         w, g, k = w[by], g[by], k[by]
         if len(w):  # copies bring the same frequent n-gram again
@@ -240,16 +213,16 @@ def _prefixes(df: DataFrame, plan: Plan, parts: int) -> DataFrame:
         owner, sig = signatures(sizes - np.diff(start), sizes, w, g, k, start[:-1], plan.threshold)
         for i in range(0, len(sig), 1 << 19):
             s = slice(i, i + (1 << 19))
-            yield _batch(_by_part(SIGNATURE, sig[s], parts, [sig[s], ids[owner[s]], sizes[owner[s]]]))
+            yield packed.batch(packed.by_part(SIGNATURE, sig[s], parts, [sig[s], ids[owner[s]], sizes[owner[s]]]))
         rows = []
         for d in np.unique(owner).tolist():
             rows.append((SET, 0, int(ids[d]), int(sizes[d]), np.sort(g[start[d] : start[d + 1]]).tobytes(), b"", b""))
             if len(rows) == 500:
-                yield _batch(rows)
+                yield packed.batch(rows)
                 rows = []
-        yield _batch(rows)
+        yield packed.batch(rows)
 
-    return df.mapInArrow(run, SCHEMA)
+    return df.mapInArrow(run, packed.SCHEMA)
 
 
 def _candidates(df: DataFrame, threshold: float) -> DataFrame:
@@ -258,11 +231,11 @@ def _candidates(df: DataFrame, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig, uid, size = [], [], []
         for b in batches:
-            for r in _columns(b):
+            for r in packed.columns(b):
                 sig.append(r[4])
                 uid.append(r[5])
                 size.append(r[6])
-        s, u, z = _cat(sig, U), _cat(uid, np.int64), _cat(size, np.int64)
+        s, u, z = packed.cat(sig, U), packed.cat(uid, np.int64), packed.cat(size, np.int64)
         order = np.lexsort((u, z, s))
         s, u, z = s[order], u[order], z[order]
         if not len(s):
@@ -345,10 +318,9 @@ def similar_texts(texts: DataFrame, plan: Plan = Plan()) -> DataFrame:
     rows, grams = counts[-1], counts[:-1].sum()
     classes = 1 + (counts[:-1] >= max(plan.pairs_from * rows, 3)).astype(np.uint8) + (counts[:-1] >= max(plan.triples_from * rows, 3))
     parts = max(texts.sparkSession.sparkContext.defaultParallelism, math.ceil(grams / plan.per_task))
-    exchange = lambda df: df.repartitionById(parts, F.col("part"))
-    counted = _count(exchange(_emit(texts, classes, plan, parts)), parts)
-    made = shared.checkpoint(_prefixes(exchange(counted), plan, parts))
-    pairs = _candidates(exchange(made.where(F.col("kind") == SIGNATURE)), plan.threshold).distinct()
+    counted = _count(packed.exchange(_emit(texts, classes, plan, parts), parts), parts)
+    made = shared.checkpoint(_prefixes(packed.exchange(counted, parts), plan, parts))
+    pairs = _candidates(packed.exchange(made.where(F.col("kind") == SIGNATURE), parts), plan.threshold).distinct()
     pairs = shared.checkpoint(pairs)
     # partners meet where the smallest of their partners says, so that a clique's sets move once
     ends = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))

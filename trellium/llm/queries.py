@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, ngram_join, resampling, token_codec
+from . import exact_dedup, mixing, ngram_join, repeats, resampling, token_codec
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.chosen(_read(spark, sf_dir, "documents"))
 
 
+def op5_shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.shared_passages(_read(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.kept(_read(spark, sf_dir, "documents"))
 
@@ -71,6 +75,7 @@ def mix_sql(plan: mixing.Plan = mixing.Plan(), docs: str = "documents") -> str:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_codec": op1_bpe_codec,
     "op4_source_mix": op4_source_mix,
+    "op5_shared_passages": op5_shared_passages,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_token_counts": op8_token_counts,
     "op9_quality_resampling": op9_quality_resampling,
