@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, ngram_join, repeats, resampling, token_codec
+from . import compression_score, exact_dedup, mixing, ngram_join, repeats, resampling, token_codec, topk, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,6 +18,16 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_codec.encode_checked(_read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.mark(pages, url_filter.default_entries(pages))
+
+
+def op3_compression_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return compression_score.score(docs, _read(spark, sf_dir, "labels")).drop("text")
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.chosen(_read(spark, sf_dir, "documents"))
 
@@ -25,6 +36,10 @@ def op5_shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.shared_passages(_read(spark, sf_dir, "documents"))
 
 
+def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(_read(spark, sf_dir, "embeddings")).withColumn("score", F.round("score", 6))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.kept(_read(spark, sf_dir, "documents"))
 
@@ -72,16 +87,35 @@ def mix_sql(plan: mixing.Plan = mixing.Plan(), docs: str = "documents") -> str:
       SELECT doc_id, domain, lang, source, CAST(t AS BIGINT) AS mix_tokens, CAST(e AS INTEGER) AS epoch FROM n, LATERAL (SELECT unnest(range(n)) AS e)"""
 
 
+def url_sql() -> str:
+    listed = ", ".join(f"('{d}')" for d in url_filter.DOMAINS)
+    host = "regexp_replace(regexp_replace(lower(regexp_extract(regexp_replace(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '^[^/?#]*')), ':[0-9]*$', ''), '^www[.]', '')"
+    return f"""WITH p AS (SELECT page_id, url, {host} AS host FROM pages), l(entry) AS (VALUES {listed}),
+      m AS (SELECT page_id, arg_max(entry, length(entry)) AS entry FROM p, l WHERE host = entry OR ends_with(host, '.' || entry) GROUP BY page_id)
+      SELECT p.page_id, p.url, m.entry IS NOT NULL AS blocked, m.entry AS entry FROM p LEFT JOIN m USING (page_id)"""
+
+
+TOPK_SQL = """SELECT vec_id, rank, neighbor_id, round(score, 6) AS score FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, neighbor_id) AS INTEGER) AS rank FROM (
+  SELECT a.vec_id, b.vec_id AS neighbor_id, list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS score
+  FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id)) WHERE rank <= 10"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_codec": op1_bpe_codec,
+    "op2_url_filter": op2_url_filter,
+    "op3_compression_score": op3_compression_score,
     "op4_source_mix": op4_source_mix,
     "op5_shared_passages": op5_shared_passages,
+    "op6_topk_search": op6_topk_search,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_token_counts": op8_token_counts,
     "op9_quality_resampling": op9_quality_resampling,
     "op10_ngram_join": op10_ngram_join,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op2_url_filter": url_sql(),
+    "op6_topk_search": TOPK_SQL,
     "op4_source_mix": mix_sql(),
     "op7_exact_dedup": """SELECT min(doc_id) AS doc_id, sha256(text) AS digest, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY text
         UNION ALL SELECT doc_id, NULL, 1 FROM documents WHERE text IS NULL""",
