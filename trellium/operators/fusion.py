@@ -145,7 +145,7 @@ def _out(edges: DataFrame, cap: int) -> DataFrame:
 
 
 def trimodal(entities: DataFrame, edges: DataFrame, queries: DataFrame, seed: int = 40, pool: int = 200, cap: int = 200, keep: Column | None = None) -> DataFrame:
-    """(qid, id, score, cos, hits, prov, rank): near entities and what they link to, by cosine + hits / (4 * most hits).
+    """(qid, id, score, cos, hits, prov, rank): near entities and what they link to, by cosine + hits / (4 * most hits), to four places.
 
     The cap of links a seed follows and the pool of linked entities are part of the search; ties by id.
     """
@@ -163,8 +163,9 @@ def trimodal(entities: DataFrame, edges: DataFrame, queries: DataFrame, seed: in
     cand = cand.join(e.select("id", "embedding"), "id").join(queries.select("qid", "qvec"), "qid").join(most, "qid", "left")
     cos = F.lit(1.0) - cosine(F.col("embedding"), F.col("qvec"))
     scored = cand.select("qid", "id", cos.alias("cos"), "hits", "prov", F.coalesce(F.col("hits") / F.col("most"), F.lit(0.0)).alias("g"))
-    scored = scored.select("qid", "id", F.round(F.col("cos") + 0.25 * F.col("g"), 4).alias("score"), F.round("cos", 4).alias("cos"), "hits", "prov")
-    return best(scored, 1 << 30)
+    scored = scored.select("qid", "id", (F.col("cos") + 0.25 * F.col("g")).alias("score"), "cos", "hits", "prov")
+    order = Window.partitionBy("qid").orderBy(F.round("score", 4).desc(), "id")
+    return scored.withColumn("rank", F.row_number().over(order).cast("long"))
 
 
 def related(entities: DataFrame, edges: DataFrame, queries: DataFrame, k: int = 15, pool: int = 50, c: int = 60, cap_direct: int = 300, cap_out: int = 64) -> DataFrame:
