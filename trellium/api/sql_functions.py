@@ -18,7 +18,7 @@ def register(spark: SparkSession, g: Graph, prefix: str = "gph") -> None:
     """
     g.live.createOrReplaceTempView(f"{prefix}_edges")
     traverse.neighbours(g).createOrReplaceTempView(f"{prefix}_neighbors")
-    spark.udf.register("choose_join_order", lambda m, n, t: join_order.choose(m, n, t), T.StringType())
+    spark.udf.register("choose_join_order", lambda m, n, t: join_order.choose(m, n, None if t is None else float(t)), T.StringType())
     spark.udf.register("choose_join_order_cost", lambda d, m, n, k: join_order.choose_by_cost(d, m, n, k), T.StringType())
     spark.udf.register("rel_selectivity", lambda m, n: float(join_order.selectivity(m, n)), T.DoubleType())
     spark.udf.register("estimate_intermediate", lambda m, k, o: join_order.intermediate(m, k, o), T.LongType())
