@@ -80,6 +80,8 @@ def need(size: np.ndarray, threshold: float) -> np.ndarray:
 
 
 RARE, DOC, FREQUENT, SIGNATURE, SET = range(5)
+#: Signatures before its own, by value, that a signature's row names.
+BEFORE = 2
 
 
 def _emit(docs: DataFrame, classes: np.ndarray, plan: Plan, parts: int) -> DataFrame:
@@ -180,7 +182,7 @@ def signatures(u: np.ndarray, sizes: np.ndarray, who: np.ndarray, grams: np.ndar
 
 
 def _prefixes(df: DataFrame, plan: Plan, parts: int) -> DataFrame:
-    """SIGNATURE rows (hash, uid, size) by hash, and one SET row (n-grams that others have too) for each text with a signature."""
+    """SIGNATURE rows (hash; uid, size and the BEFORE signatures before it) by hash, and one SET row (n-grams that others have too) for each text with a signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, size, who, grams, order, kind = [], [], [], [], [], []
@@ -211,9 +213,18 @@ def _prefixes(df: DataFrame, plan: Plan, parts: int) -> DataFrame:
             w, g, k = w[once], g[once], k[once]
         start = np.searchsorted(w, np.arange(len(ids) + 1))
         owner, sig = signatures(sizes - np.diff(start), sizes, w, g, k, start[:-1], plan.threshold)
-        for i in range(0, len(sig), 1 << 19):
-            s = slice(i, i + (1 << 19))
-            yield packed.batch(packed.by_part(SIGNATURE, sig[s], parts, [sig[s], ids[owner[s]], sizes[owner[s]]]))
+        by = np.lexsort((sig, owner))
+        owner, sig = owner[by], sig[by]
+        if len(sig):
+            once = np.concatenate([[True], (owner[1:] != owner[:-1]) | (sig[1:] != sig[:-1])])
+            owner, sig = owner[once], sig[once]
+        before = [np.where(np.roll(owner, b) == owner, np.roll(sig, b), U(0)) if b < len(sig) else np.zeros(len(sig), U) for b in range(1, BEFORE + 1)]
+        for b, x in enumerate(before, 1):
+            x[:b] = 0
+        rows = np.stack([ids[owner].view(U), sizes[owner].astype(U), *before], axis=1) if len(sig) else np.zeros((0, 2 + BEFORE), U)
+        for i in range(0, len(sig), 1 << 17):
+            s = slice(i, i + (1 << 17))
+            yield packed.batch(packed.by_part(SIGNATURE, sig[s], parts, [sig[s], rows[s]]))
         rows = []
         for d in np.unique(owner).tolist():
             rows.append((SET, 0, int(ids[d]), int(sizes[d]), np.sort(g[start[d] : start[d + 1]]).tobytes(), b"", b""))
@@ -226,22 +237,35 @@ def _prefixes(df: DataFrame, plan: Plan, parts: int) -> DataFrame:
 
 
 def _candidates(df: DataFrame, threshold: float) -> DataFrame:
-    """(a, b), a < b: texts that share a signature and whose sizes allow the similarity; repeated where they share several."""
+    """(a, b), a < b: texts that share a signature and whose sizes allow the similarity.
+
+    Where both rows name the same signature before this one, the pair comes up there (or by the same rule
+    earlier still), so it is left out here; it repeats only where the texts' signatures diverge.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig, uid, size = [], [], []
+        sig, rest = [], []
         for b in batches:
             for r in packed.columns(b):
                 sig.append(r[4])
-                uid.append(r[5])
-                size.append(r[6])
-        s, u, z = packed.cat(sig, U), packed.cat(uid, np.int64), packed.cat(size, np.int64)
+                rest.append(r[5])
+        s, rows = packed.cat(sig, U), packed.cat(rest, U).reshape(-1, 2 + BEFORE)
+        u, z, before = rows[:, 0].view(np.int64), rows[:, 1].astype(np.int64), rows[:, 2:]
         order = np.lexsort((u, z, s))
-        s, u, z = s[order], u[order], z[order]
+        s, u, z, before = s[order], u[order], z[order], before[order]
         if not len(s):
             return
         once = np.concatenate([[True], (s[1:] != s[:-1]) | (u[1:] != u[:-1])])
-        s, u, z = s[once], u[once], z[once]
+        s, u, z, before = s[once], u[once], z[once], before[once]
+
+        def met(i, j) -> np.ndarray:
+            """Whether rows i and j name a common signature before this one."""
+            x, y = before[i], before[j]
+            out = np.zeros(max(len(x), len(y)), bool)
+            for c in range(BEFORE):
+                for d in range(BEFORE):
+                    out |= (x[:, c] == y[:, d]) & (x[:, c] != 0)
+            return out
         start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
         end = np.append(start[1:], len(s))
         left, right, held = [], [], 0
@@ -257,7 +281,7 @@ def _candidates(df: DataFrame, threshold: float) -> DataFrame:
         # in a group of one signature, by size: each with those that follow while sizes allow it
         pairs = np.flatnonzero(end - start == 2)
         i = start[pairs]
-        ok = z[i] >= threshold * z[i + 1] - 1e-9
+        ok = (z[i] >= threshold * z[i + 1] - 1e-9) & ~met(i, i + 1)
         left.append(u[i[ok]])
         right.append(u[i[ok] + 1])
         held = int(ok.sum())
@@ -265,11 +289,12 @@ def _candidates(df: DataFrame, threshold: float) -> DataFrame:
             a, e = int(start[g]), int(end[g])
             upto = np.minimum(np.searchsorted(z[a:e], z[a:e] / threshold + 1e-6, "right"), e - a)
             for i in range(e - a - 1):
-                m = int(upto[i]) - i - 1
-                if m > 0:
-                    left.append(np.full(m, u[a + i]))
-                    right.append(u[a + i + 1 : a + i + 1 + m])
-                    held += m
+                if int(upto[i]) - i > 1:
+                    other = np.arange(a + i + 1, a + int(upto[i]))
+                    other = other[~met(slice(a + i, a + i + 1), other)]
+                    left.append(np.full(len(other), u[a + i]))
+                    right.append(u[other])
+                    held += len(other)
                 if held > 1 << 20:
                     yield flush()
                     left, right, held = [], [], 0
