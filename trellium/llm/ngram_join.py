@@ -343,10 +343,11 @@ def similar_texts(texts: DataFrame, plan: Plan = Plan()) -> DataFrame:
     rows, grams = counts[-1], counts[:-1].sum()
     classes = 1 + (counts[:-1] >= max(plan.pairs_from * rows, 3)).astype(np.uint8) + (counts[:-1] >= max(plan.triples_from * rows, 3))
     parts = max(texts.sparkSession.sparkContext.defaultParallelism, math.ceil(grams / plan.per_task))
-    counted = _count(packed.exchange(_emit(texts, classes, plan, parts), parts), parts)
-    made = shared.checkpoint(_prefixes(packed.exchange(counted, parts), plan, parts))
+    made = shared.written(_prefixes(packed.exchange(_count(packed.exchange(_emit(texts, classes, plan, parts), parts), parts), parts), plan, parts), "prefixes")
+    shared.forget(made.sparkSession)
     pairs = _candidates(packed.exchange(made.where(F.col("kind") == SIGNATURE), parts), plan.threshold).distinct()
-    pairs = shared.checkpoint(pairs)
+    pairs = shared.written(pairs, "candidates")
+    shared.forget(made.sparkSession)
     # partners meet where the smallest of their partners says, so that a clique's sets move once
     ends = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     hint = ends.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("hint"))

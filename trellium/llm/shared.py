@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from urllib.parse import unquote, urlparse
@@ -42,6 +43,23 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: as checkpoint, but compressed, and nothing of its plan is kept."""
+    folder = new_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
+def forget(spark: SparkSession) -> None:
+    """Lets Spark delete now the shuffle files that nothing refers to any more.
+
+    It does so whenever the driver happens to collect its garbage, which after a checkpoint may be long
+    after the files have become useless; until then they take up the executors' disks.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """df with a broadcast hint if it has at most limit / row_bytes rows (counted, with a limit), else df as it is."""
     most = limit // row_bytes
