@@ -85,7 +85,7 @@ BEFORE = 2
 
 
 def _emit(docs: DataFrame, classes: np.ndarray, plan: Plan, parts: int) -> DataFrame:
-    """RARE rows (hash, uid) by hash; DOC rows (uid, size) and FREQUENT rows (uid, hash, class) by uid."""
+    """RARE rows (hash, uid in runs) by hash; DOC rows (uid, size) and FREQUENT rows (uid, hash, class) by uid."""
     known = docs.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +97,7 @@ def _emit(docs: DataFrame, classes: np.ndarray, plan: Plan, parts: int) -> DataF
                 who = np.repeat(own, size)
                 kind = known.value[(grams >> U(64 - plan.bits)).astype(np.int64)]
                 rare = kind == 1
-                rows = packed.by_part(RARE, grams[rare], parts, [grams[rare], who[rare]])
+                rows = packed.by_part_runs(RARE, grams[rare], parts, who[rare])
                 rows += packed.by_part(DOC, own[size > 0], parts, [own[size > 0], size[size > 0]])
                 if not rare.all():
                     rows += packed.by_part(FREQUENT, who[~rare], parts, [who[~rare], grams[~rare], kind[~rare].astype(np.int64)])
@@ -116,7 +116,7 @@ def _count(df: DataFrame, parts: int) -> DataFrame:
             for r in packed.columns(b):
                 if r[0] == RARE:
                     hashes.append(r[4])
-                    uids.append(r[5])
+                    uids.append(np.repeat(np.frombuffer(r[5], np.int64), np.frombuffer(r[6], np.uint32)).tobytes())
                 else:
                     rest.append(r)
             if rest:
@@ -140,7 +140,7 @@ def _count(df: DataFrame, parts: int) -> DataFrame:
             for i in range(0, len(h), 1 << 20):
                 s = slice(i, i + (1 << 20))
                 k = keep[s]
-                yield packed.batch(packed.by_part(RARE, u[s][k], parts, [u[s][k], h[s][k], each[s][k]]))
+                yield packed.batch(packed.by_part(RARE, u[s][k], parts, [u[s][k], h[s][k], each[s][k].astype(np.int32)]))
 
     return df.mapInArrow(run, packed.SCHEMA)
 
@@ -199,13 +199,13 @@ def _prefixes(df: DataFrame, plan: Plan, parts: int) -> DataFrame:
                 else:
                     who.append(r[4])
                     grams.append(r[5])
-                    order.append(np.zeros(len(r[4]) // 8, np.int64).tobytes())
+                    order.append(np.zeros(len(r[4]) // 8, np.int32).tobytes())
                     kind.append(r[6])
         ids, first = np.unique(packed.cat(doc, np.int64), return_index=True)
         if not len(ids):
             return
         sizes = packed.cat(size, np.int64)[first]
-        w, g, f, k = np.searchsorted(ids, packed.cat(who, np.int64)), packed.cat(grams, U), packed.cat(order, np.int64), packed.cat(kind, np.int64)
+        w, g, f, k = np.searchsorted(ids, packed.cat(who, np.int64)), packed.cat(grams, U), packed.cat(order, np.int32), packed.cat(kind, np.int64)
         by = np.lexsort((g, f, k, w))
         w, g, k = w[by], g[by], k[by]
         if len(w):  # copies bring the same frequent n-gram again
@@ -343,6 +343,7 @@ def similar_texts(texts: DataFrame, plan: Plan = Plan()) -> DataFrame:
     rows, grams = counts[-1], counts[:-1].sum()
     classes = 1 + (counts[:-1] >= max(plan.pairs_from * rows, 3)).astype(np.uint8) + (counts[:-1] >= max(plan.triples_from * rows, 3))
     parts = max(texts.sparkSession.sparkContext.defaultParallelism, math.ceil(grams / plan.per_task))
+    shared.forget(texts.sparkSession)
     made = shared.written(_prefixes(packed.exchange(_count(packed.exchange(_emit(texts, classes, plan, parts), parts), parts), parts), plan, parts), "prefixes")
     shared.forget(made.sparkSession)
     pairs = _candidates(packed.exchange(made.where(F.col("kind") == SIGNATURE), parts), plan.threshold).distinct()

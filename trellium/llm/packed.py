@@ -35,6 +35,20 @@ def by_part(kind: int, keys: np.ndarray, parts: int, arrays: list[np.ndarray]) -
     return [(kind, p, 0, 0, *(x[bounds[p] : bounds[p + 1]].tobytes() for x in packed), *empty) for p in np.flatnonzero(np.diff(bounds)).tolist()]
 
 
+def by_part_runs(kind: int, keys: np.ndarray, parts: int, owner: np.ndarray) -> list[tuple]:
+    """by_part of keys and their owners, where owners stand in runs: keys, the owner of each run, the lengths of the runs (uint32)."""
+    part = (kernels.mix(keys.view(U)) % U(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    part, keys, owner = part[order], keys[order], owner[order]
+    bounds = np.searchsorted(part, np.arange(parts + 1))
+    start = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (part[1:] != part[:-1])])) if len(keys) else np.zeros(0, np.int64)
+    length = np.diff(np.append(start, len(keys))).astype(np.uint32)
+    who = owner[start]
+    runs = np.searchsorted(start, bounds)
+    some = np.flatnonzero(np.diff(bounds)).tolist()
+    return [(kind, p, 0, 0, keys[bounds[p] : bounds[p + 1]].tobytes(), who[runs[p] : runs[p + 1]].tobytes(), length[runs[p] : runs[p + 1]].tobytes()) for p in some]
+
+
 def columns(b: pa.RecordBatch) -> Iterator[tuple]:
     return zip(*(b.column(i).to_pylist() for i in range(7)), strict=True)
 
