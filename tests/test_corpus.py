@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -141,3 +142,36 @@ def test_evaluation(spark):
     assert low < mean == 0.5 < high
     d = spark.createDataFrame([(0,), (5,), (2000,)], "degree long")
     assert [r["pages"] for r in packing.layout(d).collect()] == [0, 1, 2]
+
+
+def _documents(spark):
+    import pandas as pd
+
+    from trellium import queries
+
+    d = "/root/testdata/sf0.001"
+    docs = [(r["id"], r["title"], r["text"]) for r in queries.titled(spark, d).collect()]
+    assert len(docs) == pd.read_parquet(f"{d}/documents.parquet")["text"].notna().sum()
+    return queries, d, docs
+
+
+def test_shared_phrases_over_all_documents(spark):
+    import itertools
+    from collections import Counter, defaultdict
+
+    queries, d, docs = _documents(spark)
+    members = defaultdict(set)
+    for p in corpus.phrases(spark.createDataFrame([(1, "Ann Lee met Ann Lee and Bob at Rome")], "id long, text string")).collect():
+        members[p["phrase"]].add(p["id"])
+    assert set(members) == {"ann lee", "rome"}
+    members = defaultdict(set)
+    for p in queries.QUERIES["phrase_extract"](spark, d).collect():
+        members[p["phrase"]].add(p["id"])
+    assert min(map(len, members)) < 14
+    pairs = Counter()
+    for ids in members.values():
+        if 2 <= len(ids) <= max(2, int(0.4 * len(docs))):
+            pairs.update(itertools.combinations(sorted(ids), 2))
+    want = {(x, y, n) for (a, b), n in pairs.items() if n >= 2 for x, y in ((a, b), (b, a))}
+    got = [tuple(r) for r in queries.QUERIES["shared_phrase_graph"](spark, d).collect()]
+    assert len(got) == len(want) and set(got) == want and want

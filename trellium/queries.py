@@ -691,6 +691,13 @@ def shared_entity_graph(spark, d):
     return corpus.shared_entities(m, docs.count())
 
 
+@query()
+def shared_phrase_graph(spark, d):
+    """Documents by the capitalised phrases of 4 letters or more that they share; shared_entity_graph takes words of 14 letters, as its SQL does."""
+    docs = titled(spark, d)
+    return corpus.shared_entities(corpus.phrases(docs), docs.count())
+
+
 @query()
 def sanitize_pages(spark, d):
     return corpus.sanitize(read(spark, d, "pages")).select("page_id", "fragment", "plain_text", F.array_join("links", "|").alias("links"))
