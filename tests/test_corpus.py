@@ -175,3 +175,21 @@ def test_shared_phrases_over_all_documents(spark):
     want = {(x, y, n) for (a, b), n in pairs.items() if n >= 2 for x, y in ((a, b), (b, a))}
     got = [tuple(r) for r in queries.QUERIES["shared_phrase_graph"](spark, d).collect()]
     assert len(got) == len(want) and set(got) == want and want
+
+
+def test_mentions_of_whole_titles(spark):
+    long = "one two three four five six seven eight"
+    docs = spark.createDataFrame([(1, long, "x"), (2, f"{long} nine", "x"), (3, "c", f"so {long}, then"), (4, "d", "one two three four five six seven"), (5, "e", f"{long} nine")], "id long, title string, text string")
+    assert {tuple(x) for x in corpus.mentions(docs).collect()} == {(3, 1), (5, 1), (5, 2)}
+
+
+def test_title_mentions_over_all_documents(spark):
+    queries, d, docs = _documents(spark)
+    words = lambda t: " ".join(re.findall("[0-9a-z]+", t.lower()))
+    first = {}
+    for i, title, _ in sorted(docs):
+        if words(title):
+            first.setdefault(words(title), i)
+    want = {(i, dst) for i, title, text in docs for key, dst in first.items() if key != words(title) and f" {key} " in f" {words(text)} "}
+    got = [tuple(r) for r in queries.QUERIES["title_mentions"](spark, d).collect()]
+    assert len(got) == len(want) and set(got) == want and want

@@ -681,6 +681,12 @@ def mention_graph(spark, d):
     return corpus.mentions(docs.withColumn("title", short))
 
 
+@query()
+def title_mentions(spark, d):
+    """Mentions of whole titles, of any length; mention_graph takes their first three words, as its SQL does."""
+    return corpus.mentions(titled(spark, d))
+
+
 @query("""WITH m AS (SELECT DISTINCT doc_id AS id, unnest(regexp_extract_all(lower(text), '[0-9a-z]+')) AS phrase FROM documents WHERE text IS NOT NULL), t AS (SELECT count(*) AS n FROM documents),
   k AS (SELECT phrase FROM m, t WHERE length(phrase) >= 14 GROUP BY phrase, n HAVING count(*) BETWEEN 2 AND greatest(2, CAST(floor(0.4 * n) AS BIGINT))), x AS (SELECT m.* FROM m JOIN k USING (phrase)),
   p AS (SELECT a.id AS src, b.id AS dst, count(*) AS shared FROM x a JOIN x b ON a.phrase = b.phrase AND a.id < b.id GROUP BY ALL HAVING count(*) >= 2)
