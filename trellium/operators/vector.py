@@ -57,30 +57,42 @@ def distances(q: np.ndarray, m: np.ndarray, metric: str) -> np.ndarray:
     return 1 - np.divide(ip, n, out=np.zeros_like(ip), where=n > 0)
 
 
-def _block_top(qid, qs, bounds, ids, m, k, metric, not_self) -> pa.RecordBatch:
-    """For each query the k nearest of a block, or with bounds (dist, id) the count of rows up to the bound."""
+def _block_top(qid, qs, bounds, ids, m, k, metric, not_self, radius=None, parts=None) -> pa.RecordBatch:
+    """For each query the k nearest of a block, or with bounds (dist, id) the count of rows up to the bound.
+
+    radius: all rows within it in place of k. parts: (weight, width) of the vectors that stand side by side in each row;
+    the distance is the weighted sum of theirs.
+    """
     out = []
     for i in range(len(qid)):
         if m.shape[1] != qs.shape[1]:
             raise ValueError("vectors differ in length or have null elements")
-        d = distances(qs[i], m, metric)
+        if parts is None:
+            d = distances(qs[i], m, metric)
+        else:
+            ends = np.cumsum([0, *(n for _, n in parts)])
+            if ends[-1] != m.shape[1]:
+                raise ValueError("vectors differ in length or have null elements")
+            d = sum(w * distances(qs[i, a:z], m[:, a:z], metric) for (w, _), a, z in zip(parts, ends[:-1], ends[1:], strict=True))
         if bounds is not None:
             out.append((qid[i], int(((d < bounds[0][i]) | ((d == bounds[0][i]) & (ids <= bounds[1][i]))).sum()), 0.0))
             continue
         if not_self:
             d = np.where(ids == qid[i], np.inf, d)
-        if len(d) > k:
+        if radius is not None:
+            pick = np.flatnonzero(d <= radius)
+        elif len(d) > k:
             edge = np.partition(d, k - 1)[k - 1]
             pick = np.flatnonzero(d <= edge)
         else:
             pick = np.arange(len(d))
-        pick = pick[np.lexsort((ids[pick], d[pick]))][:k]
+        pick = pick[np.lexsort((ids[pick], d[pick]))][: None if radius is not None else k]
         out += [(qid[i], int(ids[j]), float(d[j])) for j in pick if d[j] < np.inf]
     cols = list(zip(*out, strict=True)) if out else [[], [], []]
     return pa.RecordBatch.from_pydict({"qid": pa.array(cols[0], pa.int64()), "id": pa.array(cols[1], pa.int64()), "dist": pa.array(cols[2], pa.float64())})
 
 
-def _blocks(queries: DataFrame, corpus: DataFrame, k: int, metric: str, not_self: bool) -> DataFrame:
+def _blocks(queries: DataFrame, corpus: DataFrame, k: int, metric: str, not_self: bool, radius: float | None = None, parts: list[tuple[float, int]] | None = None) -> DataFrame:
     """Partial results of each pair of a block of queries and a block of the corpus.
 
     Queries that fit a broadcast (counted, by their width) go to every task; otherwise blocks of both
@@ -108,7 +120,7 @@ def _blocks(queries: DataFrame, corpus: DataFrame, k: int, metric: str, not_self
             for b in batches:
                 for lo in range(0, b.num_rows, BLOCK):
                     part = b.slice(lo, BLOCK)
-                    yield _block_top(qid, qs, bounds, part.column(0).to_numpy(), matrix(part.column(1)), k, metric, not_self)
+                    yield _block_top(qid, qs, bounds, part.column(0).to_numpy(), matrix(part.column(1)), k, metric, not_self, radius, parts)
 
         return corpus.mapInArrow(run, schema)
     side = math.ceil(n / BLOCK)
@@ -123,7 +135,7 @@ def _blocks(queries: DataFrame, corpus: DataFrame, k: int, metric: str, not_self
             return empty
         qid, qs, bounds = arrays(a)
         b = b.combine_chunks()
-        return pa.Table.from_batches([_block_top(qid, qs, bounds, b["id"].to_numpy(), matrix(b["embedding"]), k, metric, not_self)])
+        return pa.Table.from_batches([_block_top(qid, qs, bounds, b["id"].to_numpy(), matrix(b["embedding"]), k, metric, not_self, radius, parts)])
 
     return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(meet, schema)
 
@@ -138,6 +150,18 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "l2", not_s
     return part.withColumn("rank", F.row_number().over(by).cast("long")).where(F.col("rank") <= k)
 
 
+def weighted_knn(queries: DataFrame, corpus: DataFrame, parts: list[tuple[float, int]], k: int, metric: str = "l2") -> DataFrame:
+    """knn by the weighted sum of distances over several vectors; qvec and embedding have them side by side, parts their (weight, width)."""
+    by = Window.partitionBy("qid").orderBy("dist", "id")
+    part = _blocks(queries, corpus, k, metric, False, parts=parts)
+    return part.withColumn("rank", F.row_number().over(by).cast("long")).where(F.col("rank") <= k)
+
+
+def within(queries: DataFrame, corpus: DataFrame, radius: float, metric: str = "l2") -> DataFrame:
+    """(qid, id, dist): all rows of the corpus within a radius of each query."""
+    return _blocks(queries, corpus, 0, metric, False, radius=radius)
+
+
 def count_upto(queries: DataFrame, corpus: DataFrame, metric: str = "l2") -> DataFrame:
     """(qid, n): rows of the corpus at most as far as (bound, bound_id) of queries(qid, qvec, bound, bound_id)."""
     return _blocks(queries, corpus, 0, metric, False).groupBy("qid").agg(F.sum("id").alias("n"))

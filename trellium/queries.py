@@ -143,6 +143,54 @@ def vec_multi_topk(spark, d):
     return shown(vector.weighted_top_k(e, parts, 10), "rank", "id", "dist")
 
 
+# The searches above have one vector, as their SQL does; these have every row as a query.
+
+
+def _all_sql(d: str) -> str:
+    return f"""SELECT qid, rank, id, round(dist, 6) AS dist FROM (SELECT qid, id, dist, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS BIGINT) AS rank FROM
+      (SELECT a.vec_id AS qid, b.vec_id AS id, {d} AS dist FROM embeddings a, embeddings b)) WHERE rank <= 10"""
+
+
+@query(_all_sql(L2("a.embedding", "b.embedding")))
+def vec_l2_all(spark, d):
+    return shown(vector.knn(all_queries(spark, d), entities(spark, d), 10, "l2"), "qid", "rank", "id", "dist")
+
+
+@query(_all_sql(COS("a.embedding", "b.embedding")))
+def vec_cosine_all(spark, d):
+    return shown(vector.knn(all_queries(spark, d), entities(spark, d), 10, "cosine"), "qid", "rank", "id", "dist")
+
+
+@query(_all_sql("-" + IP("a.embedding", "b.embedding")))
+def vec_ip_all(spark, d):
+    return shown(vector.knn(all_queries(spark, d), entities(spark, d), 10, "ip"), "qid", "rank", "id", "dist")
+
+
+@query(f"""SELECT CAST(t AS INTEGER) AS threshold, qid, rank, id, round(dist, 6) AS dist FROM (SELECT t, qid, id, dist, CAST(row_number() OVER (PARTITION BY t, qid ORDER BY dist, id) AS BIGINT) AS rank FROM
+  (SELECT t, a.vec_id AS qid, b.vec_id AS id, {L2("a.embedding", "b.embedding")} AS dist FROM embeddings a, embeddings b, (VALUES (1), (5), (9)) AS s(t) WHERE b.label >= t)) WHERE rank <= 10""")
+def vec_filtered_all(spark, d):
+    q, e = all_queries(spark, d), entities(spark, d)
+    parts = [vector.knn(q, e.where(F.col("ts") >= t), 10).withColumn("threshold", F.lit(t)) for t in (1, 5, 9)]
+    return shown(parts[0].unionByName(parts[1]).unionByName(parts[2]), "threshold", "qid", "rank", "id", "dist")
+
+
+@query(f"SELECT a.vec_id AS qid, b.vec_id AS id FROM embeddings a, embeddings b WHERE {L2('a.embedding', 'b.embedding')} <= 1.3")
+def vec_range_all(spark, d):
+    return vector.within(all_queries(spark, d), entities(spark, d), 1.3).select("qid", "id")
+
+
+@query(f"""WITH n AS (SELECT count(*) AS n FROM embeddings), q AS (SELECT a.vec_id AS qid, a.embedding AS q, b.embedding AS p FROM embeddings a, n, embeddings b WHERE b.vec_id = (a.vec_id + 4) % n)
+  SELECT qid, rank, id, round(dist, 6) AS dist FROM (SELECT qid, id, dist, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS BIGINT) AS rank FROM
+  (SELECT qid, vec_id AS id, 0.7 * {L2("embedding", "q")} + 0.3 * {L2("embedding", "p")} AS dist FROM q, embeddings)) WHERE rank <= 10""")
+def vec_multi_all(spark, d):
+    v = read(spark, d, "embeddings")
+    a = v.crossJoin(F.broadcast(v.agg(F.count("*").alias("n")))).select(F.col("vec_id").alias("qid"), "embedding", ((F.col("vec_id") + 4) % F.col("n")).alias("other"))
+    q = a.join(v.select(F.col("vec_id").alias("other"), F.col("embedding").alias("p")), "other").select("qid", F.concat("embedding", "p").alias("qvec"))
+    width = v.agg(F.max(F.size("embedding"))).first()[0]
+    e = entities(spark, d).withColumn("embedding", F.concat("embedding", "embedding"))
+    return shown(vector.weighted_knn(q, e, [(0.7, width), (0.3, width)], 10), "qid", "rank", "id", "dist")
+
+
 @query("SELECT vec_id AS id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))), 6) AS norm FROM embeddings")
 def vec_normalize(spark, d):
     e = read(spark, d, "embeddings").withColumn("twice", F.transform("embedding", lambda x: x * 2))
