@@ -126,3 +126,23 @@ def test_mix_edges(spark, odd):
     plan = mixing.Plan(numerator=2, denominator=1)
     whole = mixing.chosen(odd, plan)
     assert whole.where("mix_tokens > 0").count() == 2 * odd.where("text rlike '[^ \\t\\n\\r]'").count()
+
+
+def test_resampling_keeps_good_documents_without_labels(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    hidden = labels.where("quality = 1 and toxic = 0 and pmod(xxhash64(doc_id), 8) = 3").select("doc_id").distinct()
+    hidden = hidden.join(docs.where("text is not null").select("doc_id"), "doc_id", "left_semi")
+    kept = resampling.resample(docs, labels.join(hidden, "doc_id", "left_anti")).join(hidden, "doc_id", "left_semi").count()
+    print("kept", kept, "of", hidden.count())
+    assert kept >= 0.92 * hidden.count()
+
+
+def test_resampling_leaves_own_label_out():
+    plan = resampling.Plan(bits=8)
+    a, b = b"an owl in a wood", b"another owl in the wood"
+    n = lambda t: np.bincount(resampling.buckets(np.frombuffer(t, np.uint8), 8), minlength=256).astype(float)
+    raw, weight = n(a) + n(b) + n(b"noise noise"), 1.5
+    want = resampling.log_ratio(raw, weight * n(b), plan.smooth)[resampling.buckets(np.frombuffer(a, np.uint8), 8)].mean()
+    assert resampling.left_out_ratio(a, weight, raw, weight * (n(a) + n(b)), plan) == pytest.approx(want)
+    assert resampling.left_out_ratio(b"owl", weight, raw, weight * n(a), plan) == 0

@@ -8,7 +8,8 @@ about quality and not about language.  A document's log weight is the mean log r
 without replacement in proportion to their weights; noise comes from a hash of seed and doc_id.
 
 k is the number of documents whose log weight reaches the value that best parts target from other
-labelled rows.  Only labels are sampled: at most `label_rows`, those of smallest hash.
+labelled rows, each of them scored as if it had no label: most documents have none, and a text that
+built the target looks better under it than a like one that didn't.  Only labels are sampled: at most `label_rows`, those of smallest hash.
 
 Nulls: a null text has no weight and is rejected; a null doc_id has the same noise as any other
 null; a null language is a language of its own; a label row with a null is no label.  Texts under
@@ -86,9 +87,11 @@ def mean_ratio(col: pa.Array, table: np.ndarray, bits: int) -> np.ndarray:
     out = np.zeros(len(offsets) - 1)
     for lo, hi in kernels.rounds(offsets):
         h = buckets(raw[offsets[lo] : offsets[hi]], bits)
-        sums = np.concatenate([[0.0], np.cumsum(table[h])])
         a, b = _spans(offsets[lo : hi + 1] - offsets[lo], len(h))
-        out[lo:hi] = (sums[b] - sums[a]) / np.maximum(b - a, 1)
+        some = b > a
+        if some.any():  # each text is summed by itself, so equal texts have equal bits wherever they stand
+            sums = np.add.reduceat(np.append(table[h], 0.0), np.column_stack([a[some], b[some]]).ravel())[::2]
+            out[lo:hi][some] = sums / (b - a)[some]
     return out
 
 
@@ -106,8 +109,8 @@ def sampled_labels(labels: DataFrame, plan: Plan) -> DataFrame:
     return F.broadcast(rows.orderBy(F.xxhash64(F.lit(plan.seed), "label_id"), "label_id").limit(plan.label_rows))
 
 
-def fit(docs: DataFrame, labels: DataFrame, plan: Plan, text: str = "text", doc_id: str = "doc_id", lang: str = "lang") -> np.ndarray:
-    """The log ratio of each bucket; `labels` from sampled_labels."""
+def models(docs: DataFrame, labels: DataFrame, plan: Plan, text: str = "text", doc_id: str = "doc_id", lang: str = "lang") -> tuple[np.ndarray, np.ndarray, dict]:
+    """(counts of the raw text, of the target, weight of each language in the target); `labels` from sampled_labels."""
     d = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     d = d.join(labels, F.col("id") == F.col("label_id"), "left").select("text", "lang", F.coalesce("good", F.lit(False)).alias("good"))
     size = F.octet_length("text").cast("double")
@@ -122,7 +125,40 @@ def fit(docs: DataFrame, labels: DataFrame, plan: Plan, text: str = "text", doc_
         add_counts(acc.reshape(2, n), b.column(0), w, bits)
 
     both = vectors.total(d, 2 * n, add).reshape(2, n)
-    return log_ratio(both[0], both[1], plan.smooth)
+    return both[0], both[1], weight
+
+
+def fit(docs: DataFrame, labels: DataFrame, plan: Plan, text: str = "text", doc_id: str = "doc_id", lang: str = "lang") -> np.ndarray:
+    """The log ratio of each bucket; `labels` from sampled_labels."""
+    raw, target, _ = models(docs, labels, plan, text, doc_id, lang)
+    return log_ratio(raw, target, plan.smooth)
+
+
+def left_out_ratio(text: bytes, weight: float, raw: np.ndarray, target: np.ndarray, plan: Plan) -> float:
+    """The mean log ratio of a text of the target under the models without its label: its own counts leave the target."""
+    h = buckets(np.frombuffer(text, np.uint8), plan.bits)
+    left = target.sum() - weight * len(h)
+    if not len(h) or left <= 0.5:  # no 4-grams, or the target has no other text
+        return 0.0
+    at, n = np.unique(h, return_counts=True)
+    t = np.maximum(target[at] - weight * n, 0.0)
+    return float((n * np.log((t + plan.smooth) / (raw[at] * (left / raw.sum()) + plan.smooth))).sum() / len(h))
+
+
+def left_out(docs: DataFrame, sample: DataFrame, fitted: tuple[np.ndarray, np.ndarray, dict], plan: Plan, text: str = "text", doc_id: str = "doc_id", lang: str = "lang") -> DataFrame:
+    """(id, good, log_weight) of the labelled documents, each scored as if it had no label."""
+    held = docs.sparkSession.sparkContext.broadcast(fitted)
+    d = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    d = d.join(sample, F.col("id") == F.col("label_id")).select("id", "good", "text", "lang")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw, target, weight = held.value
+        for b in batches:
+            rows = zip(b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist(), strict=True)
+            w = [left_out_ratio(t, weight.get(la, 0.0) if g else 0.0, raw, target, plan) * plan.sharpness for g, t, la in rows]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(w, pa.float64())], names=["id", "good", "log_weight"])
+
+    return d.mapInArrow(run, T.StructType([d.schema["id"], d.schema["good"], T.StructField("log_weight", T.DoubleType())]))
 
 
 def _noise(doc_id: str, seed: int) -> Column:
@@ -180,9 +216,10 @@ def kth_largest(df: DataFrame, col: str, k: int, n: int) -> float:
 def resample(docs: DataFrame, labels: DataFrame, plan: Plan = Plan(), text: str = "text", doc_id: str = "doc_id", lang: str = "lang") -> DataFrame:
     """The rows of docs that stay, with log_weight and key added."""
     sample = sampled_labels(labels, plan)
-    out = scored(docs, fit(docs, sample, plan, text, doc_id, lang), plan, text, doc_id)
+    fitted = models(docs, sample, plan, text, doc_id, lang)
+    out = scored(docs, log_ratio(*fitted[:2], plan.smooth), plan, text, doc_id)
     thin = shared.checkpoint(out.where("log_weight is not null").select(F.col(doc_id).alias("id"), "log_weight", "key"))
-    border = split_value(thin.join(sample, F.col("id") == F.col("label_id")))
+    border = split_value(left_out(docs, sample, fitted, plan, text, doc_id, lang))
     if border is None:
         return out.where("log_weight is not null")
     n, k = thin.agg(F.count("*"), F.count(F.when(F.col("log_weight") >= border, 1))).first()
