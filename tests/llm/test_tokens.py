@@ -46,3 +46,35 @@ def test_queries_cover_the_table(spark, documents):
     for q in (queries.op1_bpe_codec, queries.op8_token_counts):
         assert q(spark, DATA).count() == documents.count()
     assert queries.op1_bpe_codec(spark, DATA).where(~F.col("lossless")).count() == 0
+
+
+def thue_morse(n, first="a", second="b"):
+    return "".join((first, second)[bin(i).count("1") % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_words_that_meet_under_powers_of_a_base(spark, exact, n):
+    """Complementary Thue-Morse words have one polynomial hash modulo 2^64; here they must keep apart."""
+    rows = [(0, thue_morse(n)), (1, thue_morse(n, "b", "a")), (2, f"{thue_morse(n)} {thue_morse(n, 'b', 'a')}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r for r in token_codec.encode_checked(df).collect()}
+    counts = {r["doc_id"]: r["n_tokens"] for r in token_codec.count_tokens(df).collect()}
+    for i, t in rows:
+        assert got[i]["tokens"] == exact(t) and got[i]["lossless"] and counts[i] == len(exact(t))
+
+
+@pytest.mark.parametrize("seen", [(0, 0), (0, 1), (1, 0)])
+def test_pretokens_of_one_key(exact, monkeypatch, seen):
+    """With hashes that always, or in part, meet, results stay those of the public encoder."""
+    import numpy as np
+    import pyarrow as pa
+
+    from trellium.llm import kernels
+
+    real = kernels.letter_hashes
+    monkeypatch.setattr(kernels, "letter_hashes", lambda a, p, which=0: real(a, p, which) if seen[which] else np.zeros(len(a), np.uint64))
+    codec = bpe.Codec(bpe.read_ranks())
+    texts = ["one two six ten", "dog cat owl", "abc one dog"]
+    assert codec.encode(pa.array(texts)).to_pylist() == [exact(t) for t in texts]
+    if any(seen):
+        assert codec.count(pa.array(texts)).to_pylist() == [len(exact(t)) for t in texts]

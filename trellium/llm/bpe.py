@@ -22,9 +22,9 @@ from . import kernels, pretokens
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: A worker forgets its pretokens when it holds so many; they are worked out anew, so results don't depend on it.
-KEEP = 600_000
+KEEP = 300_000
 #: Bytes of text whose pretokens are looked up together, and bytes of one round of array passes.
-ROUND, INNER = 1 << 22, 1 << 18
+ROUND, INNER = 1 << 20, 1 << 18
 
 
 def read_ranks(path: str = VOCABULARY) -> list[bytes]:
@@ -119,7 +119,7 @@ class Backtracker:
                     if before < 0:
                         ok = True
                     elif (ok := fits.get((before, token))) is None:
-                        if len(fits) > 250_000:
+                        if len(fits) > 100_000:
                             fits.clear()
                         ok = fits[before, token] = self._fit(before, token)
                     if ok:
@@ -179,7 +179,11 @@ class HeapMerger:
 
 
 class Known:
-    """Results for the pretokens met so far, by 64-bit key, in flat arrays: `ids[first[i]:first[i] + size[i]]`, or `size` alone."""
+    """Results for the pretokens met so far, by 64-bit key, in flat arrays: `ids[first[i]:first[i] + size[i]]`, or `size` alone.
+
+    Each is kept with a second, independent hash.  A pretoken that meets another's key but not its
+    second hash is worked out by itself and not kept.
+    """
 
     def __init__(self, work: Callable[[bytes], object], listed: bool):
         self.work, self.listed = work, listed
@@ -187,33 +191,39 @@ class Known:
 
     def clear(self) -> None:
         self.index: dict[int, int] = {}
+        self.check = np.zeros(0, np.uint64)
         self.size = np.zeros(0, np.int64)
         self.first = np.zeros(0, np.int64)
         self.ids = np.zeros(1 << 16, np.int32)
         self.used = 0
 
-    def of(self, keys: np.ndarray, word_of: Callable[[int], bytes]) -> np.ndarray:
+    def _add(self, results: list, checks: np.ndarray) -> np.ndarray:
+        """Places of new results."""
+        at = np.arange(len(self.size), len(self.size) + len(results))
+        size = np.fromiter(map(len, results), np.int64, len(results)) if self.listed else np.array(results, np.int64)
+        self.size, self.check = np.concatenate([self.size, size]), np.concatenate([self.check, checks])
+        if self.listed:
+            total = int(size.sum())
+            while self.used + total > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+            self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(results), np.int32, total)
+            self.first = np.concatenate([self.first, self.used + np.cumsum(size) - size])
+            self.used += total
+        return at
+
+    def of(self, keys: np.ndarray, checks: np.ndarray, word_of: Callable[[int], bytes]) -> np.ndarray:
         """Place of each key's result; word_of(i) gives the bytes behind keys[i]."""
-        if len(self.index) > KEEP:
+        if len(self.size) > KEEP:
             self.clear()
         get = self.index.get
-        out = [get(k, -1) for k in keys.tolist()]
-        at = np.array(out, np.int64)
+        at = np.array([get(k, -1) for k in keys.tolist()], np.int64)
         new = np.flatnonzero(at < 0)
         if len(new):
-            work, n = self.work, len(self.index)
-            results = [work(word_of(i)) for i in new.tolist()]
-            self.index.update(zip(keys[new].tolist(), range(n, n + len(new)), strict=True))
-            at[new] = np.arange(n, n + len(new))
-            size = np.fromiter(map(len, results), np.int64, len(new)) if self.listed else np.array(results, np.int64)
-            self.size = np.concatenate([self.size, size])
-            if self.listed:
-                total = int(size.sum())
-                while self.used + total > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-                self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(results), np.int32, total)
-                self.first = np.concatenate([self.first, self.used + np.cumsum(size) - size])
-                self.used += total
+            at[new] = self._add([self.work(word_of(i)) for i in new.tolist()], checks[new])
+            self.index.update(zip(keys[new].tolist(), at[new].tolist(), strict=True))
+        other = np.flatnonzero(self.check[at] != checks)
+        if len(other):
+            at[other] = self._add([self.work(word_of(i)) for i in other.tolist()], checks[other])
         return at
 
 
@@ -233,33 +243,37 @@ class Codec:
     def counter(self) -> Known:
         return Known(HeapMerger(self.tokens).count, False)
 
-    def pieces(self, raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, Callable[[int], bytes]]]:
-        """Rounds of: first text, its bytes and those after, text and code of each pretoken, the unique keys, word of a code."""
+    def pieces(self, raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, Callable[[int], bytes]]]:
+        """Rounds of: first text, its bytes and those after, pretokens of each text, start and code of each pretoken, keys and second hashes by code, word of a code."""
         for lo, hi in kernels.rounds(offsets, ROUND):
-            part, starts, keys = raw[offsets[lo] : offsets[hi]], [], []
+            part, starts, keys, checks = raw[offsets[lo] : offsets[hi]], [], [], []
             if not len(part):
                 continue
             for a, b in kernels.rounds(offsets[lo : hi + 1], INNER):
                 base = offsets[lo + a] - offsets[lo]
-                start, key = _keyed(raw[offsets[lo + a] : offsets[lo + b]], offsets[lo + a : lo + b + 1] - offsets[lo + a])
+                start, key, check = _keyed(raw[offsets[lo + a] : offsets[lo + b]], offsets[lo + a : lo + b + 1] - offsets[lo + a])
                 starts.append(start + base)
                 keys.append(key)
-            start = np.concatenate(starts)
-            codes, unique = pd.factorize(np.concatenate(keys))
-            example = np.zeros(len(unique), np.int64)
-            example[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+                checks.append(check)
+            start, key, check = np.concatenate(starts), np.concatenate(keys), np.concatenate(checks)
+            codes, unique = pd.factorize(key)
+            example = _first_of(codes, len(unique))
+            if not np.array_equal(check[example][codes], check):  # two pretokens of one key
+                codes = np.unique(np.stack([key, check], axis=1), axis=0, return_inverse=True)[1].ravel()
+                example = _first_of(codes, int(codes.max()) + 1)
+                unique = key[example]
             ends = np.append(start[1:], len(part))
             begin, end, held = start[example].tolist(), ends[example].tolist(), part.tobytes()
             local = offsets[lo : hi + 1] - offsets[lo]
             first = np.searchsorted(start, local)
-            yield lo, part, np.diff(first), codes, unique, lambda i, h=held, x=begin, y=end: h[x[i] : y[i]]
+            yield lo, part, np.diff(first), start, codes, unique, check[example], lambda i, h=held, x=begin, y=end: h[x[i] : y[i]]
 
     def count(self, col: pa.Array) -> pa.Array:
         """Tokens of each text; null stays null."""
         raw, offsets = kernels.text_buffers(col)
         total = np.zeros(len(offsets) - 1, np.int64)
-        for lo, _, words, codes, unique, word in self.pieces(raw, offsets):
-            each = self.counter.of(unique, word)
+        for lo, _, words, _, codes, unique, check, word in self.pieces(raw, offsets):
+            each = self.counter.of(unique, check, word)
             each = self.counter.size[each][codes]
             total[lo : lo + len(words)] = _sums(each, words)
         return pa.array(total, mask=_nulls(col))
@@ -268,14 +282,16 @@ class Codec:
         """Ids of each text as a list; null stays null, an empty text has none."""
         raw, offsets = kernels.text_buffers(col)
         sizes, flat = np.zeros(len(offsets) - 1, np.int64), [np.zeros(0, np.int32)]
-        for lo, part, words, codes, unique, word in self.pieces(raw, offsets):
+        for lo, part, words, start, codes, unique, check, word in self.pieces(raw, offsets):
             known = self.encoder
-            at = known.of(unique, word)[codes]
+            at = known.of(unique, check, word)[codes]
             each = known.size[at]
             lists = pa.ListArray.from_arrays(pa.array(np.append(known.first, known.used).astype(np.int32)), pa.array(known.ids[: known.used]))
             out = lists.take(pa.array(at)).flatten().to_numpy()
-            if not np.array_equal(self.bytes_of(out), part):  # two pretokens of one hash can't pass unseen
-                raise ValueError("two pretokens share a 64-bit hash; take another hash base")
+            if not np.array_equal(self.bytes_of(out), part):  # both hashes met: each pretoken by itself
+                held, ends = part.tobytes(), np.append(start[1:], len(part))
+                alone = [known.work(held[a:b]) for a, b in zip(start.tolist(), ends.tolist(), strict=True)]
+                each, out = np.array([len(x) for x in alone], np.int64), np.array(list(chain.from_iterable(alone)), np.int32)
             flat.append(out)
             sizes[lo : lo + len(words)] = _sums(each, words)
         ends = np.concatenate([[0], np.cumsum(sizes)])
@@ -313,10 +329,17 @@ def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.diff(done)
 
 
-def _keyed(part: np.ndarray, local: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Byte starts and keys of the pretokens of some texts."""
+def _first_of(codes: np.ndarray, n: int) -> np.ndarray:
+    """Where each of n codes stands first."""
+    out = np.zeros(n, np.int64)
+    out[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+    return out
+
+
+def _keyed(part: np.ndarray, local: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts, keys and second hashes of the pretokens of some texts."""
     if not len(part):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     if part.max() < 128:
         start = pretokens.split(part, local)
     else:
@@ -325,8 +348,8 @@ def _keyed(part: np.ndarray, local: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         start = byte_at[pretokens.split(points, np.searchsorted(byte_at, local))]
     size = np.diff(np.append(start, len(part)))
     place = np.arange(len(part), dtype=np.int32) - np.repeat(start.astype(np.int32), size)
-    weighted = (part.astype(np.uint64) + np.uint64(1)) * kernels.powers(int(size.max()))[place]
-    return start, kernels.mix(np.add.reduceat(weighted, start) + size.astype(np.uint64))
+    key, check = (kernels.mix(np.add.reduceat(kernels.letter_hashes(part, place, i), start) + size.astype(np.uint64)) for i in (0, 1))
+    return start, key, check
 
 
 _BY_NAME: dict[str, Codec] = {}

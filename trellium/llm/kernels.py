@@ -2,18 +2,19 @@
 
 They work on the UTF-8 bytes of a whole batch at once, so a batch costs a handful of array
 passes and no Python loop over words.  Words are maximal runs of bytes other than ASCII white
-space.  Hashes are 64-bit; equal word sequences always have equal hashes.
+space.  Hashes are 64-bit; equal word sequences always have equal hashes, and different ones the
+same hash only by chance, about one pair in 2^64.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-_BASE = U(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes of text that one round of array passes takes; a longer text is a round of its own.
@@ -22,23 +23,6 @@ CHUNK_BYTES = 1 << 20
 SLICE_BYTES = 4 << 20
 
 
-def _powers(n: int) -> np.ndarray:
-    p = np.full(n, _BASE, U)
-    p[0] = 1
-    return np.multiply.accumulate(p)
-
-
-_POW = _powers(1 << 12)
-
-
-def powers(n: int) -> np.ndarray:
-    """The first n powers of the hash base, kept between calls."""
-    global _POW
-    if n > len(_POW):
-        _POW = _powers(1 << int(n - 1).bit_length())
-    return _POW[:n]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser: spreads every input bit over the whole word."""
     h = h ^ (h >> U(30))
@@ -49,6 +33,32 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+#: Random words by place (of 64) and byte, for two independent hashes.
+_TABLES = [mix(np.arange(64 * 256, dtype=U) * U(0x9E3779B97F4A7C15) + U(seed)) for seed in (0x1D8AF066, 0x6A09E667F3BCC909)]
+
+
+def letter_hashes(letters: np.ndarray, place: np.ndarray, which: int = 0) -> np.ndarray:
+    """A random word for each byte at its place in a token; their sum is the token's hash.
+
+    Words come from a table, and beyond 64 places from it and the number of the block of 64, so no
+    arrangement of letters makes two tokens meet as it would with powers of a base.
+    """
+    h = _TABLES[which][((place & 63) << 8) | letters]
+    far = np.flatnonzero(place > 63)
+    if len(far):
+        h[far] = mix(h[far] + (place[far] >> 6).astype(U) * U(0xD6E8FEB86659FD93))
+    return h
+
+
+def release() -> None:
+    """Gives back to the system what this worker has freed; called when a task's rows are done."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
+
 def text_buffers(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, n + 1 offsets) of a string column, without copying where Arrow allows it; null is empty."""
     if isinstance(col, pa.ChunkedArray):
@@ -103,8 +113,7 @@ class Words:
         letters = raw[solid]
         self.size = np.diff(np.append(at, len(letters)))
         place = np.arange(len(letters)) - np.repeat(at, self.size)
-        weighted = (letters.astype(U) + U(1)) * powers(int(self.size.max()))[place]
-        self.hash = mix(np.add.reduceat(weighted, at) + self.size.astype(U))
+        self.hash = mix(np.add.reduceat(letter_hashes(letters, place), at) + self.size.astype(U))
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)

@@ -26,11 +26,14 @@ def classes() -> np.ndarray:
         import regex
 
         t = np.full(sys.maxunicode + 1, OTHER, np.uint8)
-        every = "".join(map(chr, [*range(0xD800), *range(0xE000, sys.maxunicode + 1)]))
-        for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
-            for m in regex.finditer(pattern, every):
-                run = np.frombuffer(m.group().encode("utf-32-le"), np.uint32)
-                t[run] = kind
+        patterns = [(kind, regex.compile(p)) for kind, p in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+"))]
+        for first in range(0, sys.maxunicode + 1, 1 << 11):  # in parts, so that a worker's memory stays small; surrogates are none
+            if 0xD800 <= first < 0xE000:
+                continue
+            part = "".join(map(chr, range(first, first + (1 << 11))))
+            for kind, p in patterns:
+                for m in p.finditer(part):
+                    t[first + m.start() : first + m.end()] = kind
         _TABLE = t
     return _TABLE
 
