@@ -1,5 +1,7 @@
 """Every stage against its own definition, on its own input."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 from trellium.llm import exact_dedup, mixing, ngram_join, resampling, token_codec
 
@@ -31,6 +33,15 @@ def test_stages(spark, documents, labels):
     assert rows(cp.run(spark, DATA)) == rows(docs)
 
 
+def test_columns_come_out_as_they_went_in(spark, documents):
+    names = ("key", "log_weight", "domain", "epoch", "digest", "winner", "hot", "root", "lost", "whole", "stop", "uid")
+    docs = documents.select("*", *(F.concat(F.lit(f"{n}-"), F.col("doc_id")).alias(n) for n in names))
+    for name, stage in cp.STAGES:
+        docs = stage(spark, docs, DATA)
+        got = docs.select("doc_id", *names).collect()
+        assert got and all(r[n] == f"{n}-{r['doc_id']}" for r in got for n in names), name
+
+
 def test_odd_rows_pass_every_stage(spark, odd, tmp_path):
     docs = odd
     for _, stage in cp.STAGES:

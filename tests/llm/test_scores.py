@@ -95,10 +95,75 @@ def test_resampling_edges(spark, odd, labels):
 
 
 def test_kth_largest(spark):
-    df = spark.range(10_000).select((F.col("id") % 777).cast("double").alias("x"))
-    want = sorted((i % 777 for i in range(10_000)), reverse=True)
-    for k in (1, 13, 5000, 9999):
-        assert resampling.kth_largest(df, "x", k, 10_000) == want[k - 1]
+    rng = np.random.default_rng(3)
+    for values in ([float(i % 777) for i in range(10_000)], [float(x) for x in rng.standard_normal(3000) ** 7], [2.5] * 40):
+        df = spark.createDataFrame([(x,) for x in values], "x double")
+        want = sorted(values, reverse=True)
+        for k in (1, 13, len(values) // 2, len(values)):
+            assert resampling.kth_largest(df, "x", min(k, len(values))) == want[min(k, len(values)) - 1]
+
+
+def brute_resample(docs, labels, plan):
+    """The draw in plain Python: models, left-out scores, border, noise and the k largest keys.  Gives {doc_id: (log weight, key)} and the ids kept."""
+    rows = [r for r in docs.collect() if r["text"] is not None]
+    seen = {}
+    for r in labels.collect():
+        if None not in (r["doc_id"], r["quality"], r["toxic"]):
+            seen.setdefault(r["doc_id"], []).append(r["quality"] == 1 and r["toxic"] == 0)
+    good = {i: all(v) for i, v in seen.items()}
+    counts = [np.bincount(resampling.buckets(np.frombuffer(r["text"].encode(), np.uint8), plan.bits), minlength=1 << plan.bits).astype(float) for r in rows]
+    size = lambda keep: {la: sum(len(r["text"].encode()) for r in rows if r["lang"] == la and keep(r)) for la in {r["lang"] for r in rows}}
+    raw_size, target_size = size(lambda r: True), size(lambda r: good.get(r["doc_id"], False))
+    share = {la: (raw_size[la] / sum(raw_size.values())) / (target_size[la] / sum(target_size.values())) for la in raw_size if target_size[la]}
+    raw = sum(counts)
+    own = [share.get(r["lang"], 0.0) if good.get(r["doc_id"], False) else 0.0 for r in rows]
+    target = sum(c * w for c, w in zip(counts, own, strict=True))
+
+    def score(c, t):
+        return plan.sharpness * float((c * np.log((t + plan.smooth) / (raw * t.sum() / raw.sum() + plan.smooth))).sum() / max(c.sum(), 1)) if t.sum() > 0.5 else 0.0
+
+    weights = [score(c, target) for c in counts]
+    held = [(score(c, target - w * c), good[r["doc_id"]]) for r, c, w in zip(rows, counts, own, strict=True) if r["doc_id"] in good]
+    g, o = sorted(x for x, y in held if y), sorted(x for x, y in held if not y)
+    values = sorted({x for x, _ in held})
+    gain = [plan.lost * sum(x >= v for x in g) / len(g) - sum(x >= v for x in o) / len(o) for v in [*values, float("inf")]]
+    best = int(np.argmax(gain))
+    border = values[best] if best == 0 else (values[best] + values[best - 1]) / 2
+    noise = {r["doc_id"]: r["n"] for r in docs.select("doc_id", resampling._noise("doc_id", plan.seed).alias("n")).collect()}
+    keys = [w + noise[r["doc_id"]] for r, w in zip(rows, weights, strict=True)]
+    k = sum(w >= border for w in weights)
+    cut = sorted(keys, reverse=True)[k - 1]
+    return {r["doc_id"]: (w, x) for r, w, x in zip(rows, weights, keys, strict=True)}, sorted(r["doc_id"] for r, x in zip(rows, keys, strict=True) if x >= cut)
+
+
+def test_resampling_against_brute_force(spark, documents, labels):
+    plan = resampling.Plan(bits=12, sharpness=20.0)
+    scores, want = brute_resample(documents, labels, plan)
+    out = resampling.resample(documents, labels, plan).collect()
+    assert sorted(r["doc_id"] for r in out) == want
+    for r in out:
+        assert (r["log_weight"], r["key"]) == pytest.approx(scores[r["doc_id"]], abs=1e-6)
+
+
+def test_inclusion_follows_the_weights(spark):
+    """Over many seeds, a row of log weight w is among the k largest keys as often as sampling without replacement in proportion to exp(w) takes it."""
+    weights = [0.0, 1.0, 2.0, 0.5]
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(weights)], "doc_id long, w double")
+    keys = np.array([[r[0] for r in df.select((F.col("w") + resampling._noise("doc_id", seed)).alias("k"), "doc_id").orderBy("doc_id").select("k").collect()] for seed in range(150)])
+    first = np.bincount(keys.argmax(axis=1), minlength=4) / len(keys)
+    assert np.abs(first - np.exp(weights) / np.exp(weights).sum()).max() < 0.12
+
+
+def test_resampling_ties_repeats_and_names(spark, documents, labels):
+    odd = documents.select("*", F.lit("mine").alias("key"), F.lit("own").alias("Log_Weight"))
+    twice = labels.unionAll(labels)
+    once = resampling.kept(odd, labels)
+    assert once.columns == odd.columns and {(r["key"], r["Log_Weight"]) for r in once.collect()} == {("mine", "own")}
+    ids = lambda df: sorted(r["doc_id"] for r in df.select("doc_id").collect())
+    assert ids(resampling.kept(odd, twice)) == ids(once)
+    double = ids(resampling.kept(odd.unionAll(odd), labels))
+    assert double[::2] == double[1::2]
+    assert resampling.resample(odd, labels).columns == [*documents.columns, "log_weight", "key"]
 
 
 def test_topk_edges(spark):
@@ -126,6 +191,10 @@ def test_mix_edges(spark, odd):
     plan = mixing.Plan(numerator=2, denominator=1)
     whole = mixing.chosen(odd, plan)
     assert whole.where("mix_tokens > 0").count() == 2 * odd.where("text rlike '[^ \\t\\n\\r]'").count()
+    named = odd.withColumns({"domain": F.lit("own"), "epoch": F.lit("mine"), "source": F.lit("s" + "9" * 45)})
+    got = mixing.rows(named, plan).collect()
+    assert len(got) == 2 * (odd.count() - 2) + 2 and {(r["domain"], r["epoch"]) for r in got} == {("own", "mine")}
+    assert {r["domain"] for r in mixing.mix(named, plan).collect()} == {"d3"}
 
 
 def test_resampling_keeps_good_documents_without_labels(spark):
@@ -133,9 +202,16 @@ def test_resampling_keeps_good_documents_without_labels(spark):
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     hidden = labels.where("quality = 1 and toxic = 0 and pmod(xxhash64(doc_id), 8) = 3").select("doc_id").distinct()
     hidden = hidden.join(docs.where("text is not null").select("doc_id"), "doc_id", "left_semi")
-    kept = resampling.resample(docs, labels.join(hidden, "doc_id", "left_anti")).join(hidden, "doc_id", "left_semi").count()
-    print("kept", kept, "of", hidden.count())
-    assert kept >= 0.92 * hidden.count()
+    left = labels.join(hidden, "doc_id", "left_anti")
+    weights = {r["doc_id"]: r["log_weight"] for r in resampling.resample(docs, left).select("doc_id", "log_weight").collect()}
+    hidden = [r["doc_id"] for r in hidden.collect()]
+    kept = sum(i in weights for i in hidden)
+    print("kept", kept, "of", len(hidden))
+    assert kept >= 0.94 * len(hidden)
+    plan = resampling.Plan()  # noise decides near the border: a plain cut would part what stays from what goes
+    every = resampling.scored(docs, resampling.fit(docs, resampling.sampled_labels(left, plan), plan), plan).where("log_weight is not null").select("doc_id", "log_weight").collect()
+    gone = np.array([r["log_weight"] for r in every if r["doc_id"] not in weights])
+    assert (gone > min(weights.values())).sum() >= 20
 
 
 def test_resampling_leaves_own_label_out():

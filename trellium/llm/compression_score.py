@@ -80,7 +80,7 @@ def score(docs: DataFrame, labels: DataFrame, plan: Plan = Plan(), text: str = "
     counts = shared.checkpoint(word_counts(docs, labels, plan, text, doc_id).where("n > 1"))
     both = docs.sparkSession.sparkContext.broadcast(dictionaries(counts, plan))
     added = [("in_domain_bytes", T.LongType()), ("general_bytes", T.LongType()), ("score", T.DoubleType())]
-    kept = [f for f in docs.schema.fields if f.name not in dict(added)]
+    kept = shared.besides(docs.schema.fields, *dict(added))
     names = [f.name for f in kept]
 
     def compressor(content: bytes) -> zstandard.ZstdCompressor:

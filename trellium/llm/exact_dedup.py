@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -95,17 +95,16 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", counters:
     Only ids and digests are shuffled to find the losers; a text moves only if the losers don't fit a broadcast.
     """
     cols = docs.columns
-    keyed = docs.withColumn("__digest", shared.digest(text))
+    own, winner, hot = shared.fresh(cols, "digest", "winner", "hot")
+    keyed = docs.withColumn(own, shared.digest(text))
     winners, rest = split(docs, text, doc_id, counters)
-    hot = F.broadcast(winners.select(F.col("digest").alias("__digest"), F.col("winner").alias("__winner"), F.lit(True).alias("__hot")))
-    multiple = rest.where("copies > 1").select(F.col("digest").alias("__digest"), F.col("winner").alias("__winner"), F.lit(False).alias("__hot"))
+    frequent = F.broadcast(winners.select(F.col("digest").alias(own), F.col("winner").alias(winner), F.lit(True).alias(hot)))
+    multiple = rest.where("copies > 1").select(F.col("digest").alias(own), F.col("winner").alias(winner), F.lit(False).alias(hot))
     multiple = shared.small(shared.checkpoint(multiple), 120)
-    first = keyed.join(hot, "__digest", "left")
-    alone = first.where("__hot is null").drop("__winner", "__hot").join(multiple, "__digest", "left")
-    same = F.col(doc_id).eqNullSafe(F.col("__winner"))
-    unique = alone.where(F.col("__winner").isNull() & F.col("__hot").isNull())
-    chosen = alone.where(F.col("__hot").isNotNull() & same).unionByName(first.where(F.col("__hot").isNotNull() & same))
-    # rows that repeat both text and id: one stays; the group holds winners alone, so it is small
-    one = Window.partitionBy("__digest").orderBy(F.lit(0))
-    chosen = chosen.withColumn("__n", F.row_number().over(one)).where("__n = 1")
-    return unique.select(cols).unionByName(chosen.select(cols))
+    first = keyed.join(frequent, own, "left")
+    alone = first.where(F.col(hot).isNull()).drop(winner, hot).join(multiple, own, "left")
+    same = F.col(hot).isNotNull() & F.col(doc_id).eqNullSafe(F.col(winner))
+    unique = alone.where(F.col(hot).isNull())
+    chosen = alone.where(same).unionByName(first.where(same))
+    # rows that repeat both text and id: one stays, and each task keeps one before they meet
+    return unique.select(cols).unionByName(chosen.dropDuplicates([own]).select(cols))

@@ -13,7 +13,8 @@ The prefix is found from sums over hash ranges, so no leaf is sorted in one task
 Nulls: a null text has no tokens; a null language or source is a leaf of its own with weight
 `other`; rows with a null doc_id are ordered as the text '?'.  An empty text has 0 tokens and
 comes with any prefix it falls in.  Ties (repeated ids) are taken or left together.  Extra columns
-stay; columns named like the results are replaced.  An empty table gives an empty table.
+stay; with `mix`, columns named like the results are replaced, with `rows` every column comes out as
+it went in.  A source's number is that of its last 18 digits.  An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -53,9 +54,9 @@ def tokens(text: str) -> Column:
 
 
 def domain(source: str, domains: int) -> Column:
-    """The domain of a source: its number modulo `domains`; a source without a number is in domain 'other'."""
-    number = F.regexp_extract(F.col(source), "([0-9]+)$", 1)
-    return F.when(F.coalesce(number, F.lit("")) == "", F.lit("other")).otherwise(F.concat(F.lit("d"), (number.cast("decimal(38,0)") % domains).cast("int").cast("string")))
+    """The domain of a source: the number that its last digits make, 18 at most, modulo `domains`; a source without a number is in domain 'other'."""
+    number = F.regexp_extract(F.col(source), "([0-9]{1,18})$", 1)
+    return F.when(F.coalesce(number, F.lit("")) == "", F.lit("other")).otherwise(F.concat(F.lit("d"), (number.cast("bigint") % domains).cast("string")))
 
 
 def _weight(col: str, table: dict[str, int], other: int) -> Column:
@@ -107,9 +108,9 @@ def measured(docs: DataFrame, plan: Plan, text: str = "text", doc_id: str = "doc
 _LEAF = ("__d", "__l", "__s")
 
 
-def _at_leaf(df: DataFrame, side: DataFrame, how: str = "inner", lang: str = "lang", source: str = "source", extra: Column | None = None) -> DataFrame:
-    on = (df["domain"] == side["__d"]) & df[lang].eqNullSafe(side["__l"]) & df[source].eqNullSafe(side["__s"])
-    return df.join(side, on if extra is None else on & extra, how).drop(*_LEAF)
+def _at_leaf(df: DataFrame, side: DataFrame, how: str = "inner", lang: str = "lang", source: str = "source", extra: Column | None = None, domain: str = "domain") -> DataFrame:
+    on = (df[domain] == side["__d"]) & df[lang].eqNullSafe(side["__l"]) & df[source].eqNullSafe(side["__s"])
+    return df.join(side, on if extra is None else on & extra, how).drop(*(side[c] for c in _LEAF))
 
 
 def _quota(thin: DataFrame, plan: Plan) -> DataFrame:
@@ -131,12 +132,15 @@ def _quota(thin: DataFrame, plan: Plan) -> DataFrame:
     return shared.checkpoint(out.select(*_LEAF, F.col("whole").alias("__whole"), "__stop"))
 
 
-def _take(df: DataFrame, quota: DataFrame, plan: Plan, doc_id: str = "doc_id", lang: str = "lang", source: str = "source") -> DataFrame:
+def _take(df: DataFrame, quota: DataFrame, plan: Plan, doc_id: str = "doc_id", lang: str = "lang", source: str = "source", domain: str = "domain", epoch: str = "epoch") -> DataFrame:
     """df, which has `domain`, with `epoch`: each row as often as its leaf's epochs take it."""
-    df = _at_leaf(df, shared.small(quota, 200), lang=lang, source=source)
-    more = (F.col("__whole") < plan.max_epochs) & (F.col("__stop").isNull() | (_place(F.col("__whole"), plan.seed, doc_id) < F.col("__stop")))
-    df = df.withColumn("__n", F.col("__whole") + F.when(more, 1).otherwise(0)).where("__n > 0")
-    return df.withColumn("epoch", F.explode(F.sequence(F.lit(0), (F.col("__n") - 1).cast("int")))).drop("__whole", "__stop", "__n")
+    cols = df.columns
+    whole, stop = shared.fresh([*cols, epoch], "whole", "stop")
+    quota = quota.withColumnsRenamed({"__whole": whole, "__stop": stop})
+    df = _at_leaf(df, shared.small(quota, 200), lang=lang, source=source, domain=domain)
+    more = (F.col(whole) < plan.max_epochs) & (F.col(stop).isNull() | (_place(F.col(whole), plan.seed, doc_id) < F.col(stop)))
+    times = F.col(whole) + F.when(more, 1).otherwise(0)
+    return df.where(times > 0).select(*cols, F.explode(F.sequence(F.lit(0), (times - 1).cast("int"))).alias(epoch))
 
 
 def chosen(docs: DataFrame, plan: Plan = Plan(), **columns: str) -> DataFrame:
@@ -149,3 +153,10 @@ def mix(docs: DataFrame, plan: Plan = Plan(), text: str = "text", doc_id: str =
     """The rows of docs, with domain and epoch added, as often as the mix takes them."""
     quota = _quota(measured(docs, plan, text, doc_id, lang, source), plan)
     return _take(docs.drop("epoch").withColumn("domain", domain(source, plan.domains)), quota, plan, doc_id, lang, source)
+
+
+def rows(docs: DataFrame, plan: Plan = Plan(), text: str = "text", doc_id: str = "doc_id", lang: str = "lang", source: str = "source") -> DataFrame:
+    """The rows of docs, as they were, as often as the mix takes them."""
+    own, epoch = shared.fresh(docs.columns, "domain", "epoch")
+    quota = _quota(measured(docs, plan, text, doc_id, lang, source), plan)
+    return _take(docs.withColumn(own, domain(source, plan.domains)), quota, plan, doc_id, lang, source, own, epoch).select(docs.columns)

@@ -396,6 +396,7 @@ def groups(pairs: DataFrame, a: str = "doc_id_a", b: str = "doc_id_b") -> DataFr
 
 def keep_one(docs: DataFrame, plan: Plan = Plan(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs with only the smallest doc_id of each group of similar documents."""
-    lost = shared.checkpoint(groups(join(docs, plan, text, doc_id)).where("id != root").select(F.col("id").alias("__lost")))
+    (gone,) = shared.fresh(docs.columns, "gone")
+    lost = shared.checkpoint(groups(join(docs, plan, text, doc_id)).where("id != root").select(F.col("id").alias(gone)))
     lost = shared.small(lost, 16)
-    return docs.join(lost, docs[doc_id] == lost["__lost"], "left_anti")
+    return docs.join(lost, docs[doc_id] == lost[gone], "left_anti")

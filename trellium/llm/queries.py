@@ -69,8 +69,8 @@ def mix_sql(plan: mixing.Plan = mixing.Plan(), docs: str = "documents") -> str:
             sum(w) OVER ({by} ORDER BY cap / w, {name} NULLS FIRST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w0 FROM {nodes}))))"""
 
     place = f"md5(concat_ws(':', '{plan.seed}', CAST(whole AS VARCHAR), coalesce(CAST(doc_id AS VARCHAR), '?')))"
-    return f"""WITH m AS (SELECT doc_id, lang, source, CASE WHEN coalesce(regexp_extract(source, '([0-9]+)$', 1), '') = '' THEN 'other'
-        ELSE 'd' || CAST(CAST(regexp_extract(source, '([0-9]+)$', 1) AS HUGEINT) % {plan.domains} AS VARCHAR) END AS domain,
+    return f"""WITH m AS (SELECT doc_id, lang, source, CASE WHEN coalesce(regexp_extract(source, '([0-9]{{1,18}})$', 1), '') = '' THEN 'other'
+        ELSE 'd' || CAST(CAST(regexp_extract(source, '([0-9]{{1,18}})$', 1) AS BIGINT) % {plan.domains} AS VARCHAR) END AS domain,
         coalesce(len(regexp_extract_all(text, '[^ \t\n\r]+')), 0) AS t FROM {docs}),
       leaf AS (SELECT domain, lang, source, CAST(sum(t) AS BIGINT) AS supply FROM m GROUP BY ALL),
       d0 AS (SELECT domain, CAST(sum(supply) * {plan.max_epochs} AS BIGINT) AS cap, {case("domain", plan.domain_weights)} AS w,

@@ -3,20 +3,23 @@
 Two generative models count byte 4-grams in hash buckets: one over the target (documents labelled
 good and not toxic), one over the raw table, every document of it.  A language that is over- or
 under-represented in the target is weighted back to its share of the raw text, so the ratio is
-about quality and not about language.  A document's log weight is the mean log ratio of its
-4-grams, times `sharpness`.  Adding Gumbel noise and keeping the k largest draws k documents
-without replacement in proportion to their weights; noise comes from a hash of seed and doc_id.
+about quality and not about language.  A document's log weight is the log ratio of the two models
+for `sharpness` of its 4-grams: their mean log ratio times `sharpness`, so that long and short texts
+compare.  Adding Gumbel noise and keeping the k largest draws k documents without replacement in
+proportion to their weights; noise comes from a hash of seed and doc_id.
 
 k is the number of documents whose log weight reaches the value that best parts target from other
-labelled rows, each of them scored as if it had no label: most documents have none, and a text that
-built the target looks better under it than a like one that didn't.  Only labels are sampled: at most `label_rows`, those of smallest hash.
+labelled rows (a target row lost counts as `lost` others kept), each of them scored as if it had no
+label: most documents have none, and a text that built the target looks better under it than a like
+one that didn't.  Only labels are sampled: at most `label_rows`, those of smallest hash.
 
 Nulls: a null text has no weight and is rejected; a null doc_id has the same noise as any other
 null; a null language is a language of its own; a label row with a null is no label.  Texts under
-4 bytes, so empty ones too, have log weight 0.  Very long texts count in full.  Equal keys at the
-border are all kept, so repeated rows stay or go together.  Extra columns stay; columns named like
-the results are replaced.  Without any label of both kinds nothing can be told apart, and every
-document with a text stays.  An empty table gives an empty table.
+4 bytes, so empty ones too, have log weight 0.  Very long texts count in full.  Labels that repeat a
+doc_id make it target only if all do.  Equal keys at the border are all kept, so repeated rows stay
+or go together.  Extra columns stay; with `resample`, columns named like the results are replaced,
+with `kept` every column comes out as it went in.  Without labels of both kinds nothing can be told
+apart, and every document with a text stays.  An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -40,7 +43,10 @@ class Plan:
     bits: int = 18
     #: Pseudo-count of each bucket in both models.
     smooth: float = 1.0
-    sharpness: float = 1000.0
+    #: 4-grams whose ratio makes a document's weight.
+    sharpness: float = 100.0
+    #: How many other labelled rows kept weigh as much as one target row lost.
+    lost: float = 2.0
     seed: int = 11
     #: The bound of the labelled sample.
     label_rows: int = 200_000
@@ -157,6 +163,7 @@ def left_out(docs: DataFrame, sample: DataFrame, fitted: tuple[np.ndarray, np.nd
             rows = zip(b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist(), strict=True)
             w = [left_out_ratio(t, weight.get(la, 0.0) if g else 0.0, raw, target, plan) * plan.sharpness for g, t, la in rows]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(w, pa.float64())], names=["id", "good", "log_weight"])
+        kernels.release()
 
     return d.mapInArrow(run, T.StructType([d.schema["id"], d.schema["good"], T.StructField("log_weight", T.DoubleType())]))
 
@@ -166,26 +173,27 @@ def _noise(doc_id: str, seed: int) -> Column:
     return -F.log(-F.log(u))
 
 
-def scored(docs: DataFrame, table: np.ndarray, plan: Plan, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def scored(docs: DataFrame, table: np.ndarray, plan: Plan, text: str = "text", doc_id: str = "doc_id", weight: str = "log_weight", key: str = "key") -> DataFrame:
     """docs with log_weight, null for a null text, and key."""
-    kept = [f for f in docs.schema.fields if f.name not in ("log_weight", "key")]
+    kept = shared.besides(docs.schema.fields, weight, key)
     names = [f.name for f in kept]
     shared_table = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in kernels.sliced(batches, text):
             col = b.column(text)
             w = pa.array(mean_ratio(col, shared_table.value, plan.bits) * plan.sharpness, mask=np.asarray(pa.compute.is_null(col)))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), w], names=[*names, "log_weight"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), w], names=[*names, weight])
+        kernels.release()
 
-    out = docs.select(names).mapInArrow(run, T.StructType([*kept, T.StructField("log_weight", T.DoubleType())]))
-    return out.withColumn("key", F.col("log_weight") + _noise(doc_id, plan.seed))
+    out = docs.select(names).mapInArrow(run, T.StructType([*kept, T.StructField(weight, T.DoubleType())]))
+    return out.withColumn(key, F.col(weight) + _noise(doc_id, plan.seed))
 
 
-def split_value(labelled: DataFrame) -> float | None:
-    """The log weight that maximises the share of good rows at or above it less that of others; None without both kinds.
+def split_value(labelled: DataFrame, lost: float = 1.0) -> float | None:
+    """The log weight that maximises `lost` times the share of good rows at or above it, less that of others; None without both kinds.
 
-    Found among 4096 quantiles of the labelled sample, of which there are at most Plan.label_rows.
+    Sought among all rows of the labelled sample, of which there are at most Plan.label_rows.
     """
     rows = np.array([(r["log_weight"], r["good"]) for r in labelled.select("log_weight", "good").collect()], dtype=float).reshape(-1, 2)
     good = rows[:, 1] > 0
@@ -194,33 +202,48 @@ def split_value(labelled: DataFrame) -> float | None:
     values = np.unique(rows[:, 0])
     at = np.concatenate([values, [np.inf]])
     g, o = np.sort(rows[good, 0]), np.sort(rows[~good, 0])
-    gain = (len(g) - np.searchsorted(g, at)) / len(g) - (len(o) - np.searchsorted(o, at)) / len(o)
+    gain = lost * (len(g) - np.searchsorted(g, at)) / len(g) - (len(o) - np.searchsorted(o, at)) / len(o)
     best = int(gain.argmax())
-    return float(at[best]) if best == 0 else float((at[best] + at[best - 1]) / 2)
+    return float(at[best]) if best == 0 or best == len(values) else float((at[best] + at[best - 1]) / 2)
+
+
+#: Ranges into which each pass of kth_largest parts what is left.
+BINS = 1024
 
 
-def kth_largest(df: DataFrame, col: str, k: int, n: int) -> float:
-    """Exact k-th largest of n values: a quantile sketch brackets it, and only the bracket's rows are sorted."""
+def kth_largest(df: DataFrame, col: str, k: int) -> float:
+    """Exact k-th largest value, 1 <= k <= rows: each pass counts BINS ranges and goes on with the one that holds it, so no rows are sorted."""
+    x = F.col(col)
+    lo, hi = df.agg(F.min(x), F.max(x)).first()
+    while lo < hi:
+        place = F.least(F.floor((x - F.lit(lo)) / F.lit(hi - lo) * BINS), F.lit(BINS - 1))
+        bins = df.where(x.between(lo, hi)).groupBy(place.alias("bin")).agg(F.count("*").alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi")).collect()
+        for r in sorted(bins, key=lambda r: -r["bin"]):
+            if k <= r["n"]:
+                lo, hi = r["lo"], r["hi"]
+                break
+            k -= r["n"]
+    return lo
+
+
+def _drawn(docs: DataFrame, labels: DataFrame, plan: Plan, text: str, doc_id: str, lang: str, weight: str, key: str) -> DataFrame:
+    sample = sampled_labels(labels, plan)
+    fitted = models(docs, sample, plan, text, doc_id, lang)
+    out = scored(docs, log_ratio(*fitted[:2], plan.smooth), plan, text, doc_id, weight, key)
+    some = out.where(F.col(weight).isNotNull())
+    thin = shared.checkpoint(some.select(F.col(weight).alias("w"), F.col(key).alias("key")))
+    border = split_value(left_out(docs, sample, fitted, plan, text, doc_id, lang), plan.lost)
+    n, k = thin.agg(F.count("*"), F.count(F.when(F.col("w") >= border, 1))).first() if border is not None else (0, 0)
     if k >= n:
-        return float("-inf")
-    share = 1 - k / n
-    lo, hi = df.agg(F.percentile_approx(col, F.array(F.lit(max(0.0, share - 0.002)), F.lit(min(1.0, share + 0.002))), F.lit(2000)).alias("p")).first()["p"]
-    above = df.where(F.col(col) > hi).count()
-    inside = df.where((F.col(col) >= lo) & (F.col(col) <= hi)).orderBy(F.col(col).desc()).limit(max(k - above, 0))
-    got = inside.agg(F.min(col).alias("m"), F.count("*").alias("n")).first()
-    if got["n"] == k - above and got["n"]:
-        return got["m"]
-    return df.orderBy(F.col(col).desc()).limit(k).agg(F.min(col)).first()[0]
+        return some
+    return out.where(F.col(key) >= (kth_largest(thin, "key", k) if k else float("inf")))
 
 
 def resample(docs: DataFrame, labels: DataFrame, plan: Plan = Plan(), text: str = "text", doc_id: str = "doc_id", lang: str = "lang") -> DataFrame:
     """The rows of docs that stay, with log_weight and key added."""
-    sample = sampled_labels(labels, plan)
-    fitted = models(docs, sample, plan, text, doc_id, lang)
-    out = scored(docs, log_ratio(*fitted[:2], plan.smooth), plan, text, doc_id)
-    thin = shared.checkpoint(out.where("log_weight is not null").select(F.col(doc_id).alias("id"), "log_weight", "key"))
-    border = split_value(left_out(docs, sample, fitted, plan, text, doc_id, lang))
-    if border is None:
-        return out.where("log_weight is not null")
-    n, k = thin.agg(F.count("*"), F.count(F.when(F.col("log_weight") >= border, 1))).first()
-    return out.where("log_weight is not null") if k >= n else out.where(F.col("key") >= (kth_largest(thin, "key", k, n) if k else float("inf")))
+    return _drawn(docs, labels, plan, text, doc_id, lang, "log_weight", "key")
+
+
+def kept(docs: DataFrame, labels: DataFrame, plan: Plan = Plan(), text: str = "text", doc_id: str = "doc_id", lang: str = "lang") -> DataFrame:
+    """The rows of docs that stay, as they were."""
+    return _drawn(docs, labels, plan, text, doc_id, lang, *shared.fresh(docs.columns, "log_weight", "key")).select(docs.columns)

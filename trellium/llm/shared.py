@@ -15,9 +15,11 @@ BROADCAST_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; where that is unset (tests), a new local one."""
+    """The folder that all executors share, from spark.checkpoint.dir; where that is unset on one machine (tests), a new local one."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='shared-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -60,12 +62,35 @@ def forget(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def drop(spark: SparkSession, folder: str) -> None:
+    """Deletes a table of this job that nothing will read again."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """df with a broadcast hint if it has at most limit / row_bytes rows (counted, with a limit), else df as it is."""
     most = limit // row_bytes
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """A name for each of `names` that none of the columns has, whatever its case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def besides(fields: list, *names: str) -> list:
+    """The fields that aren't named like one of `names`, whatever the case: what stays beside results."""
+    gone = {n.lower() for n in names}
+    return [f for f in fields if f.name.lower() not in gone]
+
+
 def digest(text: Column | str) -> Column:
     """SHA-256 of a text, the identity of exact copies."""
     return F.sha2(F.col(text) if isinstance(text, str) else text, 256)

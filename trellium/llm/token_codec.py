@@ -14,15 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from . import bpe, kernels
+from . import bpe, kernels, shared
 
 
 def _append(df: DataFrame, path: str, text: str, results: list[tuple[str, T.DataType]], work) -> DataFrame:
     """df with columns that work(codec, batch) makes from column `text`; the vocabulary is read once on the driver and broadcast (it doesn't grow)."""
     ranks = df.sparkSession.sparkContext.broadcast(bpe.read_ranks(path))
     name = f"{path}:{len(ranks.value)}"
-    taken = {n for n, _ in results}
-    kept = [f for f in df.schema.fields if f.name not in taken]
+    kept = shared.besides(df.schema.fields, *(n for n, _ in results))
     schema = T.StructType([*kept, *(T.StructField(n, t) for n, t in results)])
     keep = [f.name for f in kept]
 

@@ -143,16 +143,17 @@ _OPEN: dict[str, DigestArray] = {}
 def mark(pages: DataFrame, entries: DataFrame, url: str = "url") -> DataFrame:
     """pages with `blocked` and `entry`, the list's string that the URL matched."""
     folder, bits = build(entries)
-    kept = [f for f in pages.schema.fields if f.name not in ("blocked", "entry")]
+    kept = shared.besides(pages.schema.fields, "blocked", "entry")
     names = [f.name for f in kept]
+    probed_as, keyed_as = shared.fresh(names, "probes", "keys")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if folder not in _OPEN:
             _OPEN[folder] = DigestArray(folder, bits)
         for b in batches:
-            lists = b.column("__probes")
+            lists = b.column(probed_as)
             words = lists.flatten().to_pylist()
-            keys = b.column("__keys").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            keys = b.column(keyed_as).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             hit = _OPEN[folder].holds(keys, words)
             size = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0))
             row = np.repeat(np.arange(b.num_rows), size)
@@ -161,7 +162,7 @@ def mark(pages: DataFrame, entries: DataFrame, url: str = "url") -> DataFrame:
             entry[row[found]] = [words[i] for i in found]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array([x is not None for x in entry]), pa.array(list(entry), pa.string())], names=[*names, "blocked", "entry"])
 
-    probed = pages.select(*names, probes(url).alias("__probes")).withColumn("__keys", F.transform("__probes", lambda x: F.xxhash64(x)))
+    probed = pages.select(*names, probes(url).alias(probed_as)).withColumn(keyed_as, F.transform(probed_as, lambda x: F.xxhash64(x)))
     return probed.mapInArrow(run, T.StructType([*kept, T.StructField("blocked", T.BooleanType()), T.StructField("entry", T.StringType())]))
 
 

@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import kernels
+
 #: Entries of one shard of a vector.
 SHARD = 1 << 12
 
@@ -31,6 +33,7 @@ def total(df: DataFrame, size: int, add: Callable[[np.ndarray, pa.RecordBatch],
         for b in batches:
             add(acc, b)
         yield _rows(acc)
+        kernels.release()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc: dict[int, np.ndarray] = {}
