@@ -2,7 +2,11 @@
 
 Each stage works on all rows that the one before kept.  Between stages the documents are written as
 Parquet to the folder that all executors share and read again, so a lost executor costs no stage.
-Rows that the operators can't judge follow their rules: a null text is rejected by the first stage.
+Rows that the operators can't judge follow their rules: a null text is rejected by the first stage,
+so none reaches the others; empty texts are copies of each other, have no n-grams to be compared by
+and no tokens.  Rows that repeat text and doc_id become one in the second stage.  Columns come out of
+every stage as they went in, whatever they are called; the last adds tokens and n_tokens, in place of
+columns of those names.  An empty table passes through all stages.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from trellium.llm import exact_dedup, mixing, ngram_join, resampling, shared, to
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Importance resampling towards the documents labelled good; what it rejects goes."""
-    return resampling.resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select(docs.columns)
+    return resampling.kept(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +33,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources by target weight; a document comes once for each epoch that takes it."""
-    return mixing.mix(docs).select(docs.columns)
+    return mixing.rows(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
