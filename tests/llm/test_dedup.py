@@ -40,71 +40,103 @@ def grams(t, n=3):
     return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
 
 
-def brute(rows, threshold=0.5):
+def brute(rows, threshold=0.5, n=3):
+    """{doc_id: (class_id, n_links)} by comparing all texts."""
+    ids = {i for i, _ in rows if i is not None}
     by = defaultdict(set)
     for i, t in rows:
         if i is not None and grams(t):
             by[t].add(i)
-    out = {}
-    reps = [(min(v), grams(t)) for t, v in by.items()]
-    for ids in by.values():
-        out |= {(min(ids), x): 1.0 for x in ids if x != min(ids)}
-    for a in range(len(reps)):
-        for b in range(a):
-            (i, g), (j, h) = reps[a], reps[b]
-            both = len(g & h)
-            if both and i != j and both / len(g | h) >= threshold:
-                out[min(i, j), max(i, j)] = max(both / len(g | h), out.get((min(i, j), max(i, j)), 0))
-    return out
+    sets = [(v, grams(t, n)) for t, v in by.items()]
+    root, links = {i: i for i in ids}, Counter()
 
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
 
-def pairs(df):
-    return {(r[0], r[1]): r[2] for r in df.collect()}
+    for a in range(len(sets)):
+        for b in range(a + 1):
+            (v, g), (w, h) = sets[a], sets[b]
+            if a != b and len(g & h) < threshold * len(g | h) - 1e-9:
+                continue
+            for i in v:
+                links[i] += len(w) - (a == b)
+            for i in w if a != b else ():
+                links[i] += len(v)
+            for i in v | w:
+                x, y = find(i), find(min(v))
+                root[max(x, y)] = min(x, y)
+    return {i: (find(i), links[i]) for i in ids}
+
+
+def classes(df):
+    rows = df.collect()
+    assert len({r["doc_id"] for r in rows}) == len(rows)
+    return {r["doc_id"]: (r["class_id"], r["n_links"]) for r in rows}
 
 
 def test_ngram_join_against_brute_force(spark, documents, odd):
     for docs in (documents, odd):
-        want = brute([(r["doc_id"], r["text"]) for r in docs.collect()])
-        got = pairs(ngram_join.join(docs))
-        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
-    assert pairs(ngram_join.join(odd.limit(0))) == {}
+        assert classes(ngram_join.join(docs)) == brute([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert classes(ngram_join.join(odd.limit(0))) == {}
 
 
-@pytest.mark.parametrize("plan", [ngram_join.Plan(pairs_from=0.0, triples_from=2.0), ngram_join.Plan(pairs_from=0.0, triples_from=0.0), ngram_join.Plan(threshold=0.8, bits=8), ngram_join.Plan(n=1, threshold=0.3)])
+def clusters(seed=4):
+    """Near copies in clusters of up to 60, some chained at the threshold, copies of them, and single texts."""
+    import random
+
+    rng = random.Random(seed)
+    rows, base = [], [f"w{i}" for i in range(500)]
+    for size in (60, 25, 3, 2, 1, 1):
+        text = [rng.choice(base) for _ in range(40)]
+        for _ in range(size):
+            t = list(text)
+            for _ in range(rng.choice((0, 1, 1, 2, 6))):
+                t[rng.randrange(len(t))] = rng.choice(base)
+            rows.append((len(rows), " ".join(t)))
+    return rows
+
+
+@pytest.mark.parametrize(
+    "plan",
+    [
+        ngram_join.Plan(pairs_from=0.0, triples_from=2.0),
+        ngram_join.Plan(threshold=0.8, bits=8, crowd=3),
+        ngram_join.Plan(crowd=2, per_task=20, cell=5),
+        ngram_join.Plan(crowd=4, cell=50),
+    ],
+)
+def test_ngram_join_of_clusters(spark, plan):
+    """Crowds, balls, hot signatures in blocks and cells: no link is lost and none is made up."""
+    rows = clusters()
+    assert classes(ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), plan)) == brute(rows, plan.threshold)
+
+
+@pytest.mark.parametrize("plan", [ngram_join.Plan(pairs_from=0.0, triples_from=2.0), ngram_join.Plan(pairs_from=0.0, triples_from=0.0), ngram_join.Plan(n=1, threshold=0.3, crowd=2)])
 def test_ngram_join_in_every_class(spark, plan):
     """Random small texts over few words: all n-grams frequent, so pairs and triples carry the join."""
     import random
 
     rng = random.Random(4)
     rows = [(i, " ".join(rng.choice("abcdefg") for _ in range(rng.randrange(1, 14)))) for i in range(120)]
-    want = {}
-    by = defaultdict(set)
-    for i, t in rows:
-        by[t].add(i)
-    reps = [(min(v), grams(t, plan.n)) for t, v in by.items()]
-    for ids in by.values():
-        want |= {(min(ids), x) for x in ids if x != min(ids)} and {(min(ids), x): 1 for x in ids if x != min(ids)}
-    for a in range(len(reps)):
-        for b in range(a):
-            (i, g), (j, h) = reps[a], reps[b]
-            if len(g & h) / len(g | h) >= plan.threshold - 1e-9:
-                want[min(i, j), max(i, j)] = 1
-    assert pairs(ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), plan)).keys() == want.keys()
+    assert classes(ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), plan)) == brute(rows, plan.threshold, plan.n)
 
 
-def test_keep_one(spark, documents):
-    rows = [(r["doc_id"], r["text"]) for r in documents.collect()]
-    root = {i: i for i, _ in rows}
+def test_ngram_join_where_hashes_meet(spark, monkeypatch):
+    """Words that meet under powers of a base have no n-gram in common, and texts of one hash are told apart by the second."""
+    word = lambda n, a, b: "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
+    rows = [(i, f"x {word(n, a, b)} y") for i, (n, a, b) in enumerate((n, a, b) for n in (1024, 2048, 4096) for a, b in ("ab", "ba"))]
+    assert all(v == (i, 0) for i, v in classes(ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"))).items())
+    real = ngram_join._hashes
+    monkeypatch.setattr(ngram_join, "_hashes", lambda t: (F.pmod(real(t)[0], F.lit(20)), real(t)[1]))
+    rows = clusters(5)
+    assert classes(ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
 
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
 
-    for a, b in brute(rows):
-        x, y = find(a), find(b)
-        root[max(x, y)] = min(x, y)
-    assert {r["doc_id"] for r in ngram_join.keep_one(documents).collect()} == {i for i in root if find(i) == i}
+def test_keep_one(spark, documents):
+    want = brute([(r["doc_id"], r["text"]) for r in documents.collect()])
+    assert {r["doc_id"] for r in ngram_join.keep_one(documents).collect()} == {i for i, (c, _) in want.items() if c == i}
 
 
 def test_shared_passages_against_brute_force(spark, odd):
@@ -156,4 +188,5 @@ def test_shared_passages_against_brute_force(spark, odd):
 
 def test_registered(spark, documents):
     assert queries.op7_exact_dedup(spark, DATA).where(F.col("doc_id").isNull()).count() == 0
-    assert queries.op10_ngram_join(spark, DATA).columns == ["doc_id_a", "doc_id_b", "jaccard"]
+    out = queries.op10_ngram_join(spark, DATA)
+    assert out.columns == ["doc_id", "class_id", "n_links"] and out.count() == documents.select("doc_id").distinct().count()

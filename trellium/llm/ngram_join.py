@@ -11,19 +11,27 @@ The order within the rare class is by exact document frequency.  An n-gram of a
 be shared, so it takes its place in the prefix and is never a signature: most texts, having enough
 such n-grams, have no signature at all and leave the join early.
 
+Texts that share a signature are candidates.  In a group of more than `crowd` texts no list of pairs
+is made: each text is first compared with the group's smallest one, its pivot.  Distance being a
+metric, all texts at least (1 + threshold) / 2 similar to one pivot are linked with each other; they
+form a ball, and only pairs that aren't in one ball are listed and compared one by one.  So a group of
+many near copies costs in proportion to its size and loses no link.
+
 Hashes travel as packed arrays, in four exchanges: n-grams by hash (to count), those of two texts
 or more by text (to make prefixes and sets), signatures by hash (to pair up), and each candidate's
-set once for each group of its partners (to verify).
-
-Texts are identified by a 64-bit hash: exact copies take part once, and each copy is paired with
-the copy of smallest doc_id, at 1.0.  All pairs of the join follow: two documents are similar if
-their representatives are the same or paired.  This keeps a group of m copies at m - 1 pairs.
-
-Nulls: rows with a null text or doc_id are not compared.  Texts without words (so empty ones) have
-no set and pair with nothing.  A text of fewer than n words has one n-gram, the whole.  Rows that
-repeat a doc_id and its text are one; a doc_id that has several texts is compared by each of them,
-never with itself.  Extra columns are ignored.  Pairs exactly at the threshold are in.  An empty
-table gives no pairs.
+set once for each group of its partners (to verify).  Signatures of more than `per_task` rows, and
+groups of partners with many pairs, are spread over tasks by blocks.
+
+Result, one row a document: doc_id, class_id (the smallest doc_id that it is joined to by a chain of
+links; its own if it has none) and n_links, the number of other documents at or above the threshold,
+exact copies among them.  Texts are identified by a 64-bit hash, confirmed by a second one, and copies
+take part once; n-grams are compared by 64-bit hashes.
+
+Nulls: rows with a null doc_id have no row; a null text is compared with nothing, and so are texts
+without words (so empty ones): their documents are classes of their own.  A text of fewer than n words
+has one n-gram, the whole.  Rows that repeat a doc_id and its text are one; a doc_id that has several
+texts is linked by each of them, and never with itself.  Extra columns are ignored.  Pairs exactly at
+the threshold are in.  Very long texts count in full.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -52,8 +60,12 @@ class Plan:
     #: Shares of all texts from which an n-gram is in the class of pairs, and of triples.
     pairs_from: float = 0.02
     triples_from: float = 0.2
-    #: n-grams that one task of the first exchange counts.
-    per_task: int = 2_000_000
+    #: n-grams that one task counts, and rows of one signature that one task pairs up; an n-gram of more texts is in the class of pairs.
+    per_task: int = 1_000_000
+    #: Texts of one signature from which they are compared with a pivot first.
+    crowd: int = 16
+    #: Pairs of one group that one task compares.
+    cell: int = 100_000
 
 
 U = np.uint64
@@ -74,6 +86,24 @@ def sets(col: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield lo, np.concatenate(out) if out else grams, np.array(bounds)
 
 
+class Seen:
+    """Tells which texts a task met before, as far as it remembers: copies are all alike, so one will do."""
+
+    def __init__(self, most: int = 200_000):
+        self.most, self.held = most, set()
+
+    def first(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        """The rows of (uid, text) that are new."""
+        new = []
+        for i, u in enumerate(batch.column(0).to_pylist()):
+            if u not in self.held:
+                new.append(i)
+                self.held.add(u)
+        if len(self.held) > self.most:
+            self.held.clear()
+        return batch if len(new) == batch.num_rows else batch.take(pa.array(new, pa.int64()))
+
+
 def need(size: np.ndarray, threshold: float) -> np.ndarray:
     """How many n-grams of a set a prefix must hold so that a similar set can't lack them all."""
     return size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
@@ -89,7 +119,8 @@ def _emit(docs: DataFrame, classes: np.ndarray, plan: Plan, parts: int) -> DataF
     known = docs.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in kernels.sliced(batches, "text"):
+        seen = Seen()
+        for b in map(seen.first, kernels.sliced(batches, "text")):
             uid = b.column(0).to_numpy()
             for lo, grams, bounds in sets(b.column(1), plan.n):
                 size = np.diff(bounds)
@@ -102,6 +133,7 @@ def _emit(docs: DataFrame, classes: np.ndarray, plan: Plan, parts: int) -> DataF
                 if not rare.all():
                     rows += packed.by_part(FREQUENT, who[~rare], parts, [who[~rare], grams[~rare], kind[~rare].astype(np.int64)])
                 yield packed.batch(rows)
+        kernels.release()
 
     return docs.mapInArrow(run, packed.SCHEMA)
 
@@ -135,12 +167,14 @@ def _count(df: DataFrame, parts: int) -> DataFrame:
             h, u = h[once], u[once]
             start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             df_ = np.diff(np.append(start, len(h)))
-            each = np.repeat(df_, df_)
-            keep = each > 1
-            for i in range(0, len(h), 1 << 20):
-                s = slice(i, i + (1 << 20))
-                k = keep[s]
-                yield packed.batch(packed.by_part(RARE, u[s][k], parts, [u[s][k], h[s][k], each[s][k].astype(np.int32)]))
+            each = np.repeat(df_.astype(np.int32), df_)
+            del order, once, start, df_
+            for i in range(0, len(h), 1 << 19):
+                s = slice(i, i + (1 << 19))
+                k = each[s] > 1
+                yield packed.batch(packed.by_part(RARE, u[s][k], parts, [u[s][k], h[s][k], each[s][k]]))
+        del h, u
+        kernels.release()
 
     return df.mapInArrow(run, packed.SCHEMA)
 
@@ -232,148 +266,318 @@ def _prefixes(df: DataFrame, plan: Plan, parts: int) -> DataFrame:
                 yield packed.batch(rows)
                 rows = []
         yield packed.batch(rows)
+        del w, g, k, f, by, owner, sig, before
+        kernels.release()
 
     return df.mapInArrow(run, packed.SCHEMA)
 
 
-def _candidates(df: DataFrame, threshold: float) -> DataFrame:
-    """(a, b), a < b: texts that share a signature and whose sizes allow the similarity.
+#: A pair (a, b), a < b, with null s; or a text a of a crowd: its pivot b, signature s, size z, and the signatures p, q before.
+CANDIDATES = "a bigint, b bigint, s bigint, z int, p bigint, q bigint"
 
-    Where both rows name the same signature before this one, the pair comes up there (or by the same rule
-    earlier still), so it is left out here; it repeats only where the texts' signatures diverge.
-    """
+
+def _met(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether rows of signatures-before name a common one: their pair comes up there, or by the same rule earlier still."""
+    out = np.zeros(max(len(x), len(y)), bool)
+    for c in range(BEFORE):
+        for d in range(BEFORE):
+            out |= (x[:, c] == y[:, d]) & (x[:, c] != 0)
+    return out
+
+
+def _listed(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Distinct pairs, the smaller id first."""
+    x, y = np.minimum(a, b), np.maximum(a, b)
+    o = np.lexsort((y, x))
+    x, y = x[o], y[o]
+    new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]) if len(x) else np.zeros(0, bool)
+    return _rows(x[new], y[new])
+
+
+def _rows(a: np.ndarray, b: np.ndarray, s: np.ndarray | None = None, z: np.ndarray | None = None, before: np.ndarray | None = None) -> pa.RecordBatch:
+    n = len(a)
+    none = lambda t: pa.nulls(n, t)
+    late = [none(pa.int64()), none(pa.int32()), none(pa.int64()), none(pa.int64())] if s is None else [pa.array(s.view(np.int64)), pa.array(z.astype(np.int32)), *(pa.array(np.ascontiguousarray(before[:, c]).view(np.int64)) for c in range(BEFORE))]
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *late], names=["a", "b", "s", "z", "p", "q"])
+
+
+def _unpacked(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures, rows of uid, size and signatures before) of packed SIGNATURE rows."""
+    return packed.cat(b.column("a").to_pylist(), U), packed.cat(b.column("b").to_pylist(), U).reshape(-1, 2 + BEFORE)
+
+
+def _candidates(df: DataFrame, plan: Plan) -> DataFrame:
+    """CANDIDATES from packed signatures: pairs of texts that share one and whose sizes allow the similarity; texts of crowds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig, rest = [], []
-        for b in batches:
-            for r in packed.columns(b):
-                sig.append(r[4])
-                rest.append(r[5])
-        s, rows = packed.cat(sig, U), packed.cat(rest, U).reshape(-1, 2 + BEFORE)
+        got = [_unpacked(b) for b in batches]
+        if not sum(len(x) for x, _ in got):
+            return
+        s, rows = np.concatenate([x for x, _ in got]), np.concatenate([x for _, x in got])
+        del got
         u, z, before = rows[:, 0].view(np.int64), rows[:, 1].astype(np.int64), rows[:, 2:]
         order = np.lexsort((u, z, s))
         s, u, z, before = s[order], u[order], z[order], before[order]
-        if not len(s):
-            return
         once = np.concatenate([[True], (s[1:] != s[:-1]) | (u[1:] != u[:-1])])
         s, u, z, before = s[once], u[once], z[once], before[once]
-
-        def met(i, j) -> np.ndarray:
-            """Whether rows i and j name a common signature before this one."""
-            x, y = before[i], before[j]
-            out = np.zeros(max(len(x), len(y)), bool)
-            for c in range(BEFORE):
-                for d in range(BEFORE):
-                    out |= (x[:, c] == y[:, d]) & (x[:, c] != 0)
-            return out
         start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        end = np.append(start[1:], len(s))
-        left, right, held = [], [], 0
+        size = np.diff(np.append(start, len(s)))
+        place = np.arange(len(s)) - np.repeat(start, size)
+        whole = np.repeat(size, size)
+        # in a small group, by size: each with the `step`-th after it, all groups at once
+        for step in range(1, plan.crowd):
+            i = np.flatnonzero((place + step < whole) & (whole <= plan.crowd))
+            if not len(i):
+                break
+            i = i[z[i] >= plan.threshold * z[i + step] - 1e-9]
+            for at in range(0, len(i), 1 << 19):
+                k = i[at : at + (1 << 19)]
+                k = k[~_met(before[k], before[k + step])]
+                yield _listed(u[k], u[k + step])
+        crowd = whole > plan.crowd
+        if crowd.any():
+            pivot = np.repeat(np.minimum.reduceat(u, start), size)
+            for at in range(0, len(s), 1 << 19):
+                k = np.flatnonzero(crowd[at : at + (1 << 19)]) + at
+                yield _rows(u[k], pivot[k], s[k], z[k], before[k])
+        del s, u, z, before, rows, order, once, place, whole
+        kernels.release()
+
+    return df.mapInArrow(run, CANDIDATES)
+
+
+def _crowded(df: DataFrame, hot: np.ndarray) -> DataFrame:
+    """CANDIDATES, all of crowds, of the signatures in hot buckets: no task holds a whole group."""
+    known = df.sparkSession.sparkContext.broadcast(hot)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s, rows = _unpacked(b)
+            k = known.value[(s >> U(64 - HOT_BITS)).astype(np.int64)]
+            yield _rows(rows[k, 0].view(np.int64), rows[k, 0].view(np.int64), s[k], rows[k, 1], rows[k, 2:])
+
+    flat = df.mapInArrow(run, CANDIDATES).drop("b").distinct()
+    pivots = flat.groupBy("s").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return flat.join(pivots, "s").select("a", "b", "s", "z", "p", "q")
+
+
+def _cold(df: DataFrame, hot: np.ndarray) -> DataFrame:
+    """Packed signatures without those in hot buckets."""
+    known = df.sparkSession.sparkContext.broadcast(hot)
 
-        def flush() -> pa.RecordBatch:
-            a, b = np.concatenate(left), np.concatenate(right)
-            x, y = np.minimum(a, b), np.maximum(a, b)
-            o = np.lexsort((y, x))
-            x, y = x[o], y[o]
-            new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
-            return pa.RecordBatch.from_pydict({"a": x[new], "b": y[new]})
-
-        # in a group of one signature, by size: each with those that follow while sizes allow it
-        pairs = np.flatnonzero(end - start == 2)
-        i = start[pairs]
-        ok = (z[i] >= threshold * z[i + 1] - 1e-9) & ~met(i, i + 1)
-        left.append(u[i[ok]])
-        right.append(u[i[ok] + 1])
-        held = int(ok.sum())
-        for g in np.flatnonzero(end - start > 2).tolist():
-            a, e = int(start[g]), int(end[g])
-            upto = np.minimum(np.searchsorted(z[a:e], z[a:e] / threshold + 1e-6, "right"), e - a)
-            for i in range(e - a - 1):
-                if int(upto[i]) - i > 1:
-                    other = np.arange(a + i + 1, a + int(upto[i]))
-                    other = other[~met(slice(a + i, a + i + 1), other)]
-                    left.append(np.full(len(other), u[a + i]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for kind, part, uid, size, sig, rows, _ in packed.columns(b):
+                s, r = np.frombuffer(sig, U), np.frombuffer(rows, U).reshape(-1, 2 + BEFORE)
+                k = ~known.value[(s >> U(64 - HOT_BITS)).astype(np.int64)]
+                if k.any():
+                    out.append((kind, part, uid, size, s[k].tobytes(), r[k].tobytes(), b""))
+            yield packed.batch(out)
+
+    return df.mapInArrow(run, packed.SCHEMA)
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Runs of rows with equal keys, in the order they come."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        cut = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
+        for i, j in zip([0, *cut.tolist()], [*cut.tolist(), b.num_rows], strict=True):
+            now = tuple(c[i] for c in cols)
+            if now != last and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = now
+            held.append(b.slice(i, j - i))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _across(crowd: DataFrame, balls: DataFrame, plan: Plan, parts: int) -> DataFrame:
+    """Pairs of crowds whose texts aren't in one ball.  A signature of many rows is cut in blocks, and each two blocks meet in a task."""
+    many = crowd.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") > plan.per_task)
+    many = shared.small(shared.checkpoint(many.select("s", F.ceil(F.col("n") / plan.per_task).cast("int").alias("blocks"))), 16)
+    c = crowd.drop("b").join(balls, "a", "left").withColumn("ball", F.coalesce("ball", "a")).join(many, "s", "left")
+    blocks = F.coalesce("blocks", F.lit(1))
+    c = c.withColumn("k", F.pmod(F.xxhash64("a"), blocks).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    c = c.select("s", F.least("k", "x").alias("i"), F.greatest("k", "x").alias("j"), "k", "a", "z", "ball", "p", "q")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, right, held = [], [], 0
+        for t in _grouped(batches, ["s", "i", "j"]):
+            i, j, k, u, z, ball, p, q = (t.column(c).to_numpy() for c in ("i", "j", "k", "a", "z", "ball", "p", "q"))
+            if (ball == ball[0]).all():
+                continue
+            order = np.lexsort((u, ball))
+            k, u, z, ball, before = k[order], u[order], z[order], ball[order], np.stack([p[order], q[order]], axis=1)
+            end = np.searchsorted(ball, ball, "right")
+            for r in range(len(u)):
+                other = np.arange(end[r], len(u))
+                ok = np.minimum(z[other], z[r]) >= plan.threshold * np.maximum(z[other], z[r]) - 1e-9
+                if i[0] != j[0]:
+                    ok &= k[other] != k[r]
+                other = other[ok]
+                other = other[~_met(before[r : r + 1], before[other])] if len(other) else other
+                if len(other):
+                    left.append(np.full(len(other), u[r]))
                     right.append(u[other])
                     held += len(other)
-                if held > 1 << 20:
-                    yield flush()
+                if held > 1 << 19:
+                    yield _listed(np.concatenate(left), np.concatenate(right))
                     left, right, held = [], [], 0
         if held:
-            yield flush()
+            yield _listed(np.concatenate(left), np.concatenate(right))
+        kernels.release()
 
-    return df.mapInArrow(run, "a bigint, b bigint")
+    return c.repartition(parts, "s", "i", "j").sortWithinPartitions("s", "i", "j").mapInArrow(run, CANDIDATES).select("a", "b")
 
 
-def _verify(df: DataFrame, threshold: float) -> DataFrame:
-    """Similar pairs among rows (uid, size, set) and (a, b) of the same group."""
+def _verify(df: DataFrame, least: float) -> DataFrame:
+    """Similar pairs among rows (uid, size, set) and (a, b) of the same group, which come sorted by group, sets first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[int, np.ndarray]] = {}
-        pairs: list[tuple[int, int]] = []
-        for batch in batches:
-            for uid, size, grams, a, b in zip(*(batch.column(c).to_pylist() for c in ("uid", "size", "grams", "a", "b")), strict=True):
-                if grams is not None:
-                    held[uid] = (size, np.frombuffer(grams, U))
-                else:
-                    pairs.append((a, b))
-        pairs.sort()
-        out = []
-        for a, b in pairs:
-            (n, x), (m, y) = held[a], held[b]
-            at = np.searchsorted(x, y)
-            at[at == len(x)] = 0
-            both = int((x[at] == y).sum())
-            if both >= threshold * (n + m - both) - 1e-9:
-                out.append((a, b, both / (n + m - both)))
-        cols = list(zip(*out, strict=True)) if out else [[], [], []]
-        yield pa.RecordBatch.from_pydict({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64()), "jaccard": pa.array(cols[2], pa.float64())})
+        for t in _grouped(batches, ["g"]):
+            uid, size, grams, a, b = (t.column(c).to_pylist() for c in ("uid", "size", "grams", "a", "b"))
+            held = {u: (n, np.frombuffer(x, U)) for u, n, x in zip(uid, size, grams, strict=True) if x is not None}
+            out = []
+            for x, y in sorted((x, y) for x, y in zip(a, b, strict=True) if x is not None):
+                (n, one), (m, two) = held[x], held[y]
+                at = np.searchsorted(one, two)
+                at[at == len(one)] = 0
+                both = int((one[at] == two).sum())
+                if both >= least * (n + m - both) - 1e-9:
+                    out.append((x, y, both / (n + m - both)))
+            if out:
+                x, y, j = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(j, pa.float64())], names=["a", "b", "jaccard"])
+        kernels.release()
 
     return df.mapInArrow(run, "a bigint, b bigint, jaccard double")
 
 
-def similar_texts(texts: DataFrame, plan: Plan = Plan()) -> DataFrame:
-    """(a, b, jaccard), a < b, from (uid, text)."""
-
-    def add(acc: np.ndarray, b: pa.RecordBatch) -> None:
-        for _, grams, _ in sets(b.column(1), plan.n):
-            acc[:-1] += np.bincount((grams >> U(64 - plan.bits)).astype(np.int64), minlength=len(acc) - 1)
-        acc[-1] += b.num_rows
+def _compared(pairs: DataFrame, sets_: DataFrame, least: float, plan: Plan, parts: int) -> DataFrame:
+    """(a, b, jaccard) of the pairs that are at least so similar.
 
-    counts = vectors.total(texts, (1 << plan.bits) + 1, add)
-    rows, grams = counts[-1], counts[:-1].sum()
-    classes = 1 + (counts[:-1] >= max(plan.pairs_from * rows, 3)).astype(np.uint8) + (counts[:-1] >= max(plan.triples_from * rows, 3))
-    parts = max(texts.sparkSession.sparkContext.defaultParallelism, math.ceil(grams / plan.per_task))
-    shared.forget(texts.sparkSession)
-    made = shared.written(_prefixes(packed.exchange(_count(packed.exchange(_emit(texts, classes, plan, parts), parts), parts), parts), plan, parts), "prefixes")
-    shared.forget(made.sparkSession)
-    pairs = _candidates(packed.exchange(made.where(F.col("kind") == SIGNATURE), parts), plan.threshold).distinct()
-    pairs = shared.written(pairs, "candidates")
-    shared.forget(made.sparkSession)
-    # partners meet where the smallest of their partners says, so that a clique's sets move once
+    Partners meet where the smallest of their partners says, so that a clique's sets move once; a
+    meeting of more than plan.cell pairs is cut in cells by the hashes of both sides.
+    """
     ends = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     hint = ends.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("hint"))
     at = pairs.join(hint.withColumnRenamed("hint", "ha"), "a").join(hint.select(F.col("a").alias("b"), F.col("hint").alias("hb")), "b")
     at = shared.checkpoint(at.select(F.xxhash64(F.least("ha", "hb"), F.greatest("ha", "hb")).alias("g"), "a", "b"))
+    big = at.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > plan.cell)
+    big = shared.small(shared.checkpoint(big.select("g", F.ceil(F.sqrt(F.col("n") / plan.cell)).cast("int").alias("k"))), 16)
+    k = F.coalesce("k", F.lit(1))
+    at = at.join(big, "g", "left").select(F.xxhash64("g", F.pmod(F.xxhash64("a"), k), F.pmod(F.xxhash64("b"), k)).alias("g"), "a", "b")
     where = at.select("g", F.col("a").alias("uid")).unionAll(at.select("g", F.col("b").alias("uid"))).distinct()
-    sent = where.join(made.where(F.col("kind") == SET).select("uid", "size", F.col("a").alias("grams")), "uid")
+    sent = where.join(sets_, "uid")
     none = lambda t: F.lit(None).cast(t)
-    rows_ = sent.select("g", "uid", "size", "grams", none("bigint").alias("a"), none("bigint").alias("b")).unionByName(
+    rows = sent.select("g", "uid", "size", "grams", none("bigint").alias("a"), none("bigint").alias("b")).unionByName(
         at.select("g", none("bigint").alias("uid"), none("int").alias("size"), none("binary").alias("grams"), "a", "b")
     )
-    return _verify(rows_.repartition(parts, "g"), plan.threshold)
+    return _verify(rows.repartition(parts, "g").sortWithinPartitions("g"), least)
+
+
+#: Bits of the table of hashed counts that finds signatures of very many rows.
+HOT_BITS = 16
+
+
+def similar_texts(texts: DataFrame, plan: Plan = Plan()) -> tuple[DataFrame, DataFrame]:
+    """From (uid, text): (a, b, jaccard), a < b, of the similar pairs that aren't in one ball; (a, ball) of the texts in balls, a being in ball a too."""
+    spark = texts.sparkSession
+
+    def add(acc: np.ndarray, b: pa.RecordBatch) -> None:
+        for _, grams, _ in sets(b.column(1), plan.n):
+            acc[:-1] += np.bincount((grams >> U(64 - plan.bits)).astype(np.int64), minlength=len(acc) - 1)
+        acc[-1] += b.num_rows
+
+    def add_new(acc: np.ndarray, b: pa.RecordBatch, seen: Seen = Seen()) -> None:
+        for part in kernels.sliced([b], "text"):
+            add(acc, seen.first(part))
+
+    counts = vectors.total(texts, (1 << plan.bits) + 1, add_new)
+    rows, grams = counts[-1], counts[:-1].sum()
+    from_ = lambda share: min(max(share * rows, 3), max(plan.per_task, 3))
+    classes = 1 + (counts[:-1] >= from_(plan.pairs_from)).astype(np.uint8) + (counts[:-1] >= max(plan.triples_from * rows, 3))
+    parts = max(spark.sparkContext.defaultParallelism, math.ceil(grams / plan.per_task))
+    shared.forget(spark)
+    made, made_in = shared.kept_table(_prefixes(packed.exchange(_count(packed.exchange(_emit(texts, classes, plan, parts), parts), parts), parts), plan, parts), "prefixes")
+    shared.forget(spark)
+    signs = made.where(F.col("kind") == SIGNATURE)
+
+    def add_signs(acc: np.ndarray, b: pa.RecordBatch) -> None:
+        acc += np.bincount((_unpacked(b)[0] >> U(64 - HOT_BITS)).astype(np.int64), minlength=len(acc))
+
+    hot = vectors.total(signs.select("a", "b"), 1 << HOT_BITS, add_signs) > plan.per_task
+    found = _candidates(packed.exchange(_cold(signs, hot) if hot.any() else signs, parts), plan)
+    if hot.any():
+        found = found.unionByName(_crowded(signs, hot))
+    found, found_in = shared.kept_table(found, "candidates")
+    shared.forget(spark)
+    sets_ = made.where(F.col("kind") == SET).select("uid", "size", F.col("a").alias("grams"))
+    pairs, crowd = found.where("s is null").select("a", "b"), found.where("s is not null")
+    # a star around each pivot, then the balls; being in several, a text takes that of the smallest pivot
+    stars = crowd.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    near = shared.checkpoint(_compared(stars, sets_, (1 + plan.threshold) / 2, plan, parts))
+    pivots = near.select("a").distinct()
+    balls = near.select(F.col("b").alias("a"), F.col("a").alias("ball")).unionByName(pivots.select("a", F.col("a").alias("ball"))).groupBy("a").agg(F.min("ball").alias("ball"))
+    balls = shared.checkpoint(balls)
+    every = pairs.unionByName(_across(crowd, balls, plan, parts)).distinct()
+    one, two = balls.withColumnRenamed("ball", "one"), balls.select(F.col("a").alias("b"), F.col("ball").alias("two"))
+    every = every.join(one, "a", "left").join(two, "b", "left").where("one is null or two is null or one <> two").select("a", "b")
+    similar = shared.checkpoint(_compared(shared.checkpoint(every), sets_, plan.threshold, plan, parts))
+    for folder in (made_in, found_in):
+        shared.drop(spark, folder)
+    return similar, balls
+
+
+def _hashes(text: str) -> tuple:
+    """The hash that names a text, and the one that confirms it."""
+    return F.xxhash64(text), F.xxhash64(F.lit(20), F.col(text))
+
+
+def _identified(d: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From (id, text): (uid, text), and the distinct (uid, id); different texts have different uids."""
+    first, second = _hashes("text")
+    d = d.select("id", first.alias("uid"), second.alias("second"), "text")
+    ids = shared.checkpoint(d.select("uid", "second", "id").distinct())
+    met = ids.groupBy("uid").agg(F.min("second").alias("least"), F.max("second").alias("most")).where("least <> most").select("uid", "least")
+    if not (met := shared.checkpoint(met)).isEmpty():  # texts that share a uid, but for the first of them, go by their second hash
+        met = shared.small(met, 16)
+        own = F.when(F.col("least").isNotNull() & (F.col("second") != F.col("least")), F.col("second")).otherwise(F.col("uid"))
+        d, ids = (x.join(met, "uid", "left").withColumn("uid", own).drop("least") for x in (d, ids))
+    return d.select("uid", "text"), ids.select("uid", "id")
 
 
 def join(docs: DataFrame, plan: Plan = Plan(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id_a, doc_id_b, jaccard), doc_id_a < doc_id_b: see the module's text for how copies are listed."""
-    d = docs.where(F.col(text).isNotNull() & F.col(doc_id).isNotNull() & F.col(text).rlike("[^ \\t\\n\\x0b\\f\\r]"))
-    d = d.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("uid"), F.col(text).alias("text"))
-    ids = shared.checkpoint(d.select("uid", "id").distinct())
-    rep = shared.checkpoint(ids.groupBy("uid").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
-    copies = ids.join(rep.where("n > 1"), "uid").where("id != rep").select(F.col("rep").alias("x"), F.col("id").alias("y"), F.lit(1.0).alias("jaccard"))
-    near = similar_texts(d.select("uid", "text"), plan)
-    named = near.join(rep.select(F.col("uid").alias("a"), F.col("rep").alias("x")), "a").join(rep.select(F.col("uid").alias("b"), F.col("rep").alias("y")), "b").where("x != y")
-    every = named.select("x", "y", "jaccard").unionAll(copies)
-    return every.groupBy(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).agg(F.max("jaccard").alias("jaccard"))
+    """(doc_id, class_id, n_links): see the module's text."""
+    own = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    texts, ids = _identified(own.where(F.col("text").rlike("[^ \\t\\n\\x0b\\f\\r]")))
+    reps = shared.checkpoint(ids.groupBy("uid").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
+    similar, balls = similar_texts(texts, plan)
+    # links of each text, counted in documents: those of similar texts, of its ball, and its copies
+    weight = reps.select(F.col("uid").alias("b"), F.col("copies").alias("w"))
+    both = similar.select("a", "b").unionAll(similar.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    apart = both.join(weight, "b").groupBy("a").agg(F.sum("w").alias("n"))
+    inside = balls.join(weight.withColumnRenamed("b", "a"), "a")
+    inside = inside.join(inside.groupBy("ball").agg(F.sum("w").alias("of")), "ball").select("a", (F.col("of") - F.col("w")).alias("n"))
+    linked = apart.unionByName(inside).groupBy(F.col("a").alias("uid")).agg(F.sum("n").alias("n"))
+    # components over the smallest doc_id of each text
+    name = reps.select(F.col("uid").alias("b"), F.col("rep").alias("y"))
+    edges = similar.select("a", "b").unionByName(balls.where("a <> ball").select("a", F.col("ball").alias("b")))
+    edges = edges.join(name.select(F.col("b").alias("a"), F.col("y").alias("x")), "a").join(name, "b").select("x", "y")
+    several = ids.join(reps, "uid").groupBy("id").agg(F.min("rep").alias("x"), F.max("rep").alias("z"), F.collect_set("rep").alias("all")).where("x <> z")
+    edges = edges.unionByName(several.select("x", F.explode("all").alias("y")))
+    roots = groups(edges.where("x <> y"), "x", "y")
+    known = reps.join(linked, "uid", "left").join(roots.withColumnRenamed("id", "rep"), "rep", "left")
+    known = shared.checkpoint(known.select("uid", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n")))
+    every = ids.join(known, "uid").select("id", "class_id", "n").unionByName(own.where("text is null or not text rlike '[^ \\t\\n\\x0b\\f\\r]'").select("id", F.col("id").alias("class_id"), F.lit(0).cast("bigint").alias("n")))
+    return every.groupBy(F.col("id").alias("doc_id")).agg(F.min("class_id").alias("class_id"), F.sum("n").alias("n_links"))
 
 
 def groups(pairs: DataFrame, a: str = "doc_id_a", b: str = "doc_id_b") -> DataFrame:
@@ -395,8 +599,8 @@ def groups(pairs: DataFrame, a: str = "doc_id_a", b: str = "doc_id_b") -> DataFr
 
 
 def keep_one(docs: DataFrame, plan: Plan = Plan(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs with only the smallest doc_id of each group of similar documents."""
+    """docs with only the smallest doc_id of each class; rows with a null doc_id stay."""
     (gone,) = shared.fresh(docs.columns, "gone")
-    lost = shared.checkpoint(groups(join(docs, plan, text, doc_id)).where("id != root").select(F.col("id").alias(gone)))
+    lost = shared.checkpoint(join(docs, plan, text, doc_id).where("doc_id <> class_id").select(F.col("doc_id").alias(gone)))
     lost = shared.small(lost, 16)
     return docs.join(lost, docs[doc_id] == lost[gone], "left_anti")

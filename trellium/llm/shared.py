@@ -45,11 +45,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: as checkpoint, but compressed, and nothing of its plan is kept."""
+def kept_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df as a Parquet table in the shared folder, and its place: as checkpoint, but compressed, nothing of its plan is kept, and `drop` can end it."""
     folder = new_folder(df.sparkSession, name)
     df.write.parquet(folder)
-    return df.sparkSession.read.parquet(folder)
+    return df.sparkSession.read.parquet(folder), folder
 
 
 def forget(spark: SparkSession) -> None:
