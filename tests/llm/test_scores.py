@@ -166,7 +166,7 @@ def test_resampling_ties_repeats_and_names(spark, documents, labels):
     assert resampling.resample(odd, labels).columns == [*documents.columns, "log_weight", "key"]
 
 
-def test_topk_edges(spark):
+def test_topk_edges(spark, monkeypatch):
     rng = np.random.default_rng(2)
     m = rng.standard_normal((150, 6)) * rng.lognormal(0, 1, (150, 1))
     m[7] = m[8]
@@ -181,6 +181,12 @@ def test_topk_edges(spark):
         s = [(-float((full[a] * full[b]).sum()), j) for b, j in enumerate(ids) if j != i]
         assert got[i] == [j for _, j in sorted(s)[:4]]
     assert set(got) == set(ids)
+    monkeypatch.setattr(topk, "BLOCK", 16)  # several waves, and bounds that tighten
+    some = {}
+    for r in topk.search(spark.createDataFrame(rows + extra, "vec_id long, embedding array<double>"), k=4, asked=F.col("id") % 50 == 0).orderBy("rank").collect():
+        some.setdefault(r["vec_id"], []).append(r["neighbor_id"])
+    assert some == {i: got[i] for i in got if i % 50 == 0}
+    assert topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), asked=F.col("id") < 0).count() == 0
     assert topk.search(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
