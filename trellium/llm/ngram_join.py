@@ -61,7 +61,7 @@ class Plan:
     pairs_from: float = 0.02
     triples_from: float = 0.2
     #: n-grams that one task counts, and rows of one signature that one task pairs up; an n-gram of more texts is in the class of pairs.
-    per_task: int = 1_000_000
+    per_task: int = 1_500_000
     #: Texts of one signature from which they are compared with a pivot first.
     crowd: int = 16
     #: Pairs of one group that one task compares.
@@ -506,7 +506,10 @@ def similar_texts(texts: DataFrame, plan: Plan = Plan()) -> tuple[DataFrame, Dat
     classes = 1 + (counts[:-1] >= from_(plan.pairs_from)).astype(np.uint8) + (counts[:-1] >= max(plan.triples_from * rows, 3))
     parts = max(spark.sparkContext.defaultParallelism, math.ceil(grams / plan.per_task))
     shared.forget(spark)
-    made, made_in = shared.kept_table(_prefixes(packed.exchange(_count(packed.exchange(_emit(texts, classes, plan, parts), parts), parts), parts), plan, parts), "prefixes")
+    counted, counted_in = shared.kept_table(_count(packed.exchange(_emit(texts, classes, plan, parts), parts), parts), "counted")
+    shared.forget(spark)  # the largest exchange ends before the next begins
+    made, made_in = shared.kept_table(_prefixes(packed.exchange(counted, parts), plan, parts), "prefixes")
+    shared.drop(spark, counted_in)
     shared.forget(spark)
     signs = made.where(F.col("kind") == SIGNATURE)
 
