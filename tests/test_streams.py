@@ -39,6 +39,18 @@ def test_streams(spark, tmp_path):
     assert {tuple(r) for r in spark.table("latest_rev").collect()} == {(1, 5), (2, 3)}
 
 
+def test_a_bounded_recording_loses_nothing(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for f in range(3):
+        (tmp_path / f"in/{f}.txt").write_text("\n".join(change(10 * f + i, 1) for i in range(1, 6)))
+    source = lambda: edits.edits(spark.readStream.option("maxFilesPerTrigger", 1).text(str(tmp_path / "in")), "value")
+    where = (str(tmp_path / "out"), str(tmp_path / "cp"))
+    assert edits.record(source(), *where, most=5) == 5
+    assert edits.record(source(), *where, seconds=0) == 0
+    assert edits.record(source(), *where, most=100) == 10
+    assert spark.read.parquet(where[0]).select("entity").distinct().count() == 15
+
+
 def test_torn_reads(spark):
     e = spark.createDataFrame([(1, 1, 0), (1, 2, 1), (2, 1, 2)], "entity long, rev long, ord long")
     assert tuple(edits.torn_reads(e, True).first()) == (3, 0, 0.0)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trellium.operators import vector
+from trellium.storage import cut
 from trellium.operators.traverse import in_degree
 
 
@@ -122,6 +123,38 @@ def rank_by_distance(entities: DataFrame, queries: DataFrame, members: DataFrame
     return cand.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
+def source_ranked(entities: DataFrame, edges: DataFrame, queries: DataFrame, keep: Column, k: int) -> DataFrame:
+    """(qid, id, rank): sources by distance, each giving its accepted neighbours that no nearer source gave.
+
+    Only sources with an accepted neighbour are ranked, and of these as many as k targets need at most: a target has
+    `most` sources, so k - 1 of them take up (k - 1) * most sources, and the next one brings a new target.
+    """
+    links = cut(edges.select("src", "dst", "seq").join(entities.where(keep).select(F.col("id").alias("dst")), "dst", "left_semi"))
+    most = links.groupBy("dst").agg(F.count_distinct("src").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    sources = entities.join(links.select(F.col("src").alias("id")).distinct(), "id", "left_semi")
+    near = vector.knn(queries, sources, (k - 1) * most + 1).select("qid", F.col("id").alias("src"), F.col("rank").alias("sr"))
+    first = near.join(links, "src").groupBy("qid", F.col("dst").alias("id")).agg(F.min(F.struct("sr", "seq")).alias("at"))
+    order = Window.partitionBy("qid").orderBy("at", "id")
+    return first.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("qid", "id", "rank")
+
+
+def blocking(entities: DataFrame, edges: DataFrame, queries: DataFrame, m: int, k: int, metric: str = "l2") -> DataFrame:
+    """(qid, id, dist, rank): the m nearest and their direct neighbours, ranked again by distance."""
+    seeds = vector.knn(queries, entities, m, metric).select("qid", "id")
+    near = seeds.join(edges.select("src", "dst"), F.col("id") == F.col("src")).select("qid", F.col("dst").alias("id"))
+    return rank_by_distance(entities, queries, seeds.unionByName(near).distinct(), k, metric)
+
+
+def rank_by_distance(entities: DataFrame, queries: DataFrame, members: DataFrame, k: int, metric: str = "l2") -> DataFrame:
+    """The k of members(qid, id) nearest to their query."""
+    from trellium.functions.distance import BY_METRIC
+
+    cand = members.join(entities.where("embedding is not null").select("id", "embedding"), "id").join(queries.select("qid", "qvec"), "qid")
+    cand = cand.select("qid", "id", BY_METRIC[metric](F.col("embedding"), F.col("qvec")).alias("dist"))
+    order = Window.partitionBy("qid").orderBy("dist", "id")
+    return cand.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+
+
 def source_ranked(entities: DataFrame, edges: DataFrame, queries: DataFrame, keep: Column, k: int) -> DataFrame:
     """(qid, id, rank): sources by distance, each giving its accepted neighbours that no nearer source gave."""
     near = vector.knn(queries, entities, 1 << 30).select("qid", F.col("id").alias("src"), F.col("rank").alias("sr"))
@@ -144,7 +177,7 @@ def _out(edges: DataFrame, cap: int) -> DataFrame:
     return edges.select("src", "dst").distinct().withColumn("ord", F.row_number().over(order)).where(F.col("ord") <= cap)
 
 
-def trimodal(entities: DataFrame, edges: DataFrame, queries: DataFrame, seed: int = 40, pool: int = 200, cap: int = 200, keep: Column | None = None) -> DataFrame:
+def trimodal(entities: DataFrame, edges: DataFrame, queries: DataFrame, seed: int = 40, pool: int = 150, cap: int = 200, keep: Column | None = None) -> DataFrame:
     """(qid, id, score, cos, hits, prov, rank): near entities and what they link to, by cosine + hits / (4 * most hits), to four places.
 
     The cap of links a seed follows and the pool of linked entities are part of the search; ties by id.

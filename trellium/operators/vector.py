@@ -12,10 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trellium.functions import distance
-from trellium.storage import BROADCAST_BYTES
+from trellium.storage import BROADCAST_BYTES, cut
 
 #: Vectors that one block of a batch search holds.
 BLOCK = 4096
+#: A block of the corpus has so many times the rows of a block of queries.
+WIDE = 16
 
 
 def top_k(entities: DataFrame, query: Column, k: int, metric: str = "l2", vector: str = "embedding", id_col: str = "id") -> DataFrame:
@@ -95,8 +97,8 @@ def _block_top(qid, qs, bounds, ids, m, k, metric, not_self, radius=None, parts=
 def _blocks(queries: DataFrame, corpus: DataFrame, k: int, metric: str, not_self: bool, radius: float | None = None, parts: list[tuple[float, int]] | None = None) -> DataFrame:
     """Partial results of each pair of a block of queries and a block of the corpus.
 
-    Queries that fit a broadcast (counted, by their width) go to every task; otherwise blocks of both
-    sides meet in a grid whose side grows with the square root of the work.
+    Queries that fit a broadcast (counted, by their width) go to every task; otherwise blocks of BLOCK
+    queries and of WIDE * BLOCK rows of the corpus, by their counted rows, meet in a grid.
     """
     spark = queries.sparkSession
     bounded = "bound" in queries.columns
@@ -123,11 +125,10 @@ def _blocks(queries: DataFrame, corpus: DataFrame, k: int, metric: str, not_self
                     yield _block_top(qid, qs, bounds, part.column(0).to_numpy(), matrix(part.column(1)), k, metric, not_self, radius, parts)
 
         return corpus.mapInArrow(run, schema)
-    side = math.ceil(n / BLOCK)
-    left = queries.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(side)))
-    left = left.withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(side - 1).cast("long"))))
-    right = corpus.withColumn("cb", F.pmod(F.xxhash64("id"), F.lit(side)))
-    right = right.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(side - 1).cast("long"))))
+    q_side, c_side = math.ceil(n / BLOCK), max(1, math.ceil(corpus.count() / (WIDE * BLOCK)))
+    upto = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
+    left = queries.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(q_side))).withColumn("cb", upto(c_side))
+    right = corpus.withColumn("cb", F.pmod(F.xxhash64("id"), F.lit(c_side))).withColumn("qb", upto(q_side))
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         empty = pa.table({"qid": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "dist": pa.array([], pa.float64())})
@@ -230,6 +231,12 @@ def ivf_knn(queries: DataFrame, corpus: DataFrame, k: int, lists: int, nprobe: i
     q = queries.where("qvec is not null").select("qid", "qvec", F.explode(probes("qvec")).alias("list"))
     e = corpus.where("embedding is not null").select(F.col("id").cast("long").alias("id"), "embedding", home("embedding").alias("list"))
 
+    # a list of many queries or vectors is cut in blocks that meet in a grid of its own; one row a list
+    sizes = q.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).alias("qn")).join(e.groupBy("list").agg(F.ceil(F.count("*") / (WIDE * BLOCK)).alias("cn")), "list")
+    sizes = F.broadcast(cut(sizes))
+    q = q.join(sizes, "list").withColumn("qb", F.pmod(F.xxhash64("qid"), F.col("qn"))).withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cn") - 1)))
+    e = e.join(sizes, "list").withColumn("cb", F.pmod(F.xxhash64("id"), F.col("cn"))).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("qn") - 1)))
+
     def search(a: pa.Table, b: pa.Table) -> pa.Table:
         empty = pa.table({"qid": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "dist": pa.array([], pa.float64())})
         if not a.num_rows or not b.num_rows:
@@ -237,6 +244,6 @@ def ivf_knn(queries: DataFrame, corpus: DataFrame, k: int, lists: int, nprobe: i
         a, b = a.combine_chunks(), b.combine_chunks()
         return pa.Table.from_batches([_block_top(a["qid"].to_numpy(), matrix(a["qvec"]), None, b["id"].to_numpy(), matrix(b["embedding"]), k, metric, False)])
 
-    part = q.groupBy("list").cogroup(e.groupBy("list")).applyInArrow(search, "qid long, id long, dist double")
+    part = q.groupBy("list", "qb", "cb").cogroup(e.groupBy("list", "qb", "cb")).applyInArrow(search, "qid long, id long, dist double")
     by = Window.partitionBy("qid").orderBy("dist", "id")
     return part.withColumn("rank", F.row_number().over(by).cast("long")).where(F.col("rank") <= k)

@@ -6,7 +6,6 @@ import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from trellium.operators import fused
 from trellium.operators.graph_store import Graph
@@ -56,16 +55,14 @@ def parse(text: str) -> Parsed:
 def graph_query(spark: SparkSession, text: str, entities: DataFrame, g: Graph, settings: Settings = Settings()) -> Result:
     """Chunks of the source's `related_to` neighbours in a set of times, nearest first.
 
-    Both join orders give the same rows; the decision by estimated selectivity is recorded, and the anchored search runs.
+    Both join orders give the same rows, and a source is always given, so the anchored search (filter_first) runs.
     """
     p = parse(text)
     kind = g.types.where("name = 'related_to'").select("id").first()
     if kind is None:
         raise ValueError("the edge type related_to is not registered")
     where = f"ts IN ({', '.join(map(str, p.ts))})"
-    size, matches = entities.agg(F.count("*"), F.count(F.when(F.expr(where), 1))).first()
-    order = join_order.choose(matches, size, settings=settings)
     q = spark.createDataFrame([(0, list(p.vector), p.src)], "qid long, qvec array<double>, src long")
     a = fused.anchored(entities, g, q, Request(k=p.k, hops=1, edge_type=kind["id"], where=where), settings)
     rows = a.rows.join(entities.select("id", "chunk"), "id").select("rank", "id", "chunk").orderBy("rank")
-    return Result(rows, a.metrics, order if order == join_order.FILTER_FIRST else join_order.FILTER_FIRST)
+    return Result(rows, a.metrics, join_order.FILTER_FIRST)

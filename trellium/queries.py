@@ -80,11 +80,6 @@ def all_queries(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "embeddings").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
 
 
-def one(spark: SparkSession, d: str, vec_id: int = 7):
-    row = read(spark, d, "embeddings").where(F.col("vec_id") == vec_id).first()
-    return F.array(*[F.lit(float(x)) for x in row["embedding"]])
-
-
 def shown(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*[F.round(c, 6).alias(c) if c in ("dist", "score", "cos") else c for c in cols])
 
@@ -92,97 +87,49 @@ def shown(df: DataFrame, *cols: str) -> DataFrame:
 # --- vectors ---------------------------------------------------------------------------------------------------------
 
 
-def _top_sql(d: str) -> str:
-    return f"""SELECT CAST(row_number() OVER (ORDER BY dist, id) AS BIGINT) AS rank, id, round(dist, 6) AS dist FROM
-      (SELECT vec_id AS id, {d} AS dist FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 7)) ORDER BY dist, id LIMIT 10"""
-
-
-@query(_top_sql(L2("embedding", "q")))
-def vec_l2_topk(spark, d):
-    e = read(spark, d, "embeddings").withColumnRenamed("vec_id", "id")
-    return shown(vector.top_k(e, one(spark, d), 10, "l2"), "rank", "id", "dist")
-
-
-@query(_top_sql(COS("embedding", "q")))
-def vec_cosine_topk(spark, d):
-    e = read(spark, d, "embeddings").withColumnRenamed("vec_id", "id")
-    return shown(vector.top_k(e, one(spark, d), 10, "cosine"), "rank", "id", "dist")
-
-
-@query(_top_sql("-" + IP("embedding", "q")))
-def vec_ip_topk(spark, d):
-    e = read(spark, d, "embeddings").withColumnRenamed("vec_id", "id")
-    return shown(vector.top_k(e, one(spark, d), 10, "ip"), "rank", "id", "dist")
-
-
-@query(f"""SELECT CAST(t AS INTEGER) AS threshold, rank, id, round(dist, 6) AS dist FROM (SELECT t, id, dist, CAST(row_number() OVER (PARTITION BY t ORDER BY dist, id) AS BIGINT) AS rank FROM
-  (SELECT t, vec_id AS id, {L2("embedding", "q")} AS dist FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 7), (VALUES (1), (5), (9)) AS s(t) WHERE label >= t)) WHERE rank <= 10""")
-def vec_filtered_topk(spark, d):
-    e = read(spark, d, "embeddings").withColumnRenamed("vec_id", "id")
-    q = one(spark, d)
-    parts = [vector.top_k(e.where(F.col("label") >= t), q, 10).withColumn("threshold", F.lit(t)) for t in (1, 5, 9)]
-    return shown(parts[0].unionByName(parts[1]).unionByName(parts[2]), "threshold", "rank", "id", "dist")
-
-
-@query(f"SELECT vec_id AS id FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 7) WHERE {L2('embedding', 'q')} <= 1.3")
-def vec_range(spark, d):
-    return vector.range_search(read(spark, d, "embeddings"), one(spark, d), 1.3).select(F.col("vec_id").alias("id"))
-
-
 @query(f"""SELECT qid, rank, id, round(dist, 6) AS dist FROM (SELECT qid, id, dist, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS BIGINT) AS rank FROM
   (SELECT a.vec_id AS qid, b.vec_id AS id, {COS("a.embedding", "b.embedding")} AS dist FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id)) WHERE rank <= 10""")
 def vec_knn_self_join(spark, d):
     return shown(vector.knn(all_queries(spark, d), entities(spark, d), 10, "cosine", not_self=True), "qid", "rank", "id", "dist")
 
 
-@query(f"""SELECT CAST(row_number() OVER (ORDER BY dist, id) AS BIGINT) AS rank, id, round(dist, 6) AS dist FROM
-  (SELECT vec_id AS id, 0.7 * {L2("embedding", "q")} + 0.3 * {L2("embedding", "p")} AS dist FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 7), (SELECT embedding AS p FROM embeddings WHERE vec_id = 11)) ORDER BY dist, id LIMIT 10""")
-def vec_multi_topk(spark, d):
-    e = read(spark, d, "embeddings").withColumnRenamed("vec_id", "id")
-    parts = [("embedding", one(spark, d), 0.7), ("embedding", one(spark, d, 11), 0.3)]
-    return shown(vector.weighted_top_k(e, parts, 10), "rank", "id", "dist")
-
-
-# The searches above have one vector, as their SQL does; these have every row as a query.
-
-
 def _all_sql(d: str) -> str:
     return f"""SELECT qid, rank, id, round(dist, 6) AS dist FROM (SELECT qid, id, dist, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS BIGINT) AS rank FROM
       (SELECT a.vec_id AS qid, b.vec_id AS id, {d} AS dist FROM embeddings a, embeddings b)) WHERE rank <= 10"""
 
 
 @query(_all_sql(L2("a.embedding", "b.embedding")))
-def vec_l2_all(spark, d):
+def vec_l2_topk(spark, d):
     return shown(vector.knn(all_queries(spark, d), entities(spark, d), 10, "l2"), "qid", "rank", "id", "dist")
 
 
 @query(_all_sql(COS("a.embedding", "b.embedding")))
-def vec_cosine_all(spark, d):
+def vec_cosine_topk(spark, d):
     return shown(vector.knn(all_queries(spark, d), entities(spark, d), 10, "cosine"), "qid", "rank", "id", "dist")
 
 
 @query(_all_sql("-" + IP("a.embedding", "b.embedding")))
-def vec_ip_all(spark, d):
+def vec_ip_topk(spark, d):
     return shown(vector.knn(all_queries(spark, d), entities(spark, d), 10, "ip"), "qid", "rank", "id", "dist")
 
 
 @query(f"""SELECT CAST(t AS INTEGER) AS threshold, qid, rank, id, round(dist, 6) AS dist FROM (SELECT t, qid, id, dist, CAST(row_number() OVER (PARTITION BY t, qid ORDER BY dist, id) AS BIGINT) AS rank FROM
   (SELECT t, a.vec_id AS qid, b.vec_id AS id, {L2("a.embedding", "b.embedding")} AS dist FROM embeddings a, embeddings b, (VALUES (1), (5), (9)) AS s(t) WHERE b.label >= t)) WHERE rank <= 10""")
-def vec_filtered_all(spark, d):
+def vec_filtered_topk(spark, d):
     q, e = all_queries(spark, d), entities(spark, d)
     parts = [vector.knn(q, e.where(F.col("ts") >= t), 10).withColumn("threshold", F.lit(t)) for t in (1, 5, 9)]
     return shown(parts[0].unionByName(parts[1]).unionByName(parts[2]), "threshold", "qid", "rank", "id", "dist")
 
 
 @query(f"SELECT a.vec_id AS qid, b.vec_id AS id FROM embeddings a, embeddings b WHERE {L2('a.embedding', 'b.embedding')} <= 1.3")
-def vec_range_all(spark, d):
+def vec_range(spark, d):
     return vector.within(all_queries(spark, d), entities(spark, d), 1.3).select("qid", "id")
 
 
 @query(f"""WITH n AS (SELECT count(*) AS n FROM embeddings), q AS (SELECT a.vec_id AS qid, a.embedding AS q, b.embedding AS p FROM embeddings a, n, embeddings b WHERE b.vec_id = (a.vec_id + 4) % n)
   SELECT qid, rank, id, round(dist, 6) AS dist FROM (SELECT qid, id, dist, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS BIGINT) AS rank FROM
   (SELECT qid, vec_id AS id, 0.7 * {L2("embedding", "q")} + 0.3 * {L2("embedding", "p")} AS dist FROM q, embeddings)) WHERE rank <= 10""")
-def vec_multi_all(spark, d):
+def vec_multi_topk(spark, d):
     v = read(spark, d, "embeddings")
     a = v.crossJoin(F.broadcast(v.agg(F.count("*").alias("n")))).select(F.col("vec_id").alias("qid"), "embedding", ((F.col("vec_id") + 4) % F.col("n")).alias("other"))
     q = a.join(v.select(F.col("vec_id").alias("other"), F.col("embedding").alias("p")), "other").select("qid", F.concat("embedding", "p").alias("qvec"))
@@ -343,13 +290,14 @@ def _power_sql(rounds: int) -> str:
             f"""r{i} AS (SELECT qid, vid, sum(p) AS p FROM (SELECT qid, l.dst AS vid, 0.85 * p / deg AS p FROM r{i - 1} JOIN l ON vid = l.src
             UNION ALL SELECT qid, vid, 0.15 * p FROM r0) GROUP BY qid, vid)"""
         )
-    return f"WITH {EDGES}, o AS (SELECT src, count(*) AS deg FROM edges GROUP BY src), l AS (SELECT e.src, e.dst, deg FROM edges e JOIN o USING (src)), {', '.join(steps)} SELECT qid, vid, round(p, 6) AS rank FROM r{rounds}"
+    return f"WITH {EDGES}, o AS (SELECT src, count(*) AS deg FROM edges GROUP BY src), l AS (SELECT e.src, e.dst, deg FROM edges e JOIN o USING (src)), {', '.join(steps)} SELECT qid, vid, round(p + 1e-11, 6) AS rank FROM r{rounds}"
 
 
 @query(_power_sql(3))
 def graph_ppr_power(spark, d):
     seeds = read(spark, d, "embeddings").select(F.col("vec_id").alias("qid"), F.col("vec_id").alias("vid"), F.lit(1.0).alias("mass"))
-    return traverse.power_ppr(edges(spark, d), seeds, 0.15, 3).select("qid", "vid", F.round("rank", 6).alias("rank"))
+    # the offset keeps ranks that end in a 5 on one side of the border, whatever the order of the sums
+    return traverse.power_ppr(edges(spark, d), seeds, 0.15, 3).select("qid", "vid", F.round(F.col("rank") + 1e-11, 6).alias("rank"))
 
 
 @query()
@@ -554,22 +502,22 @@ def graph_inject(spark, d):
 
 @query(f"""WITH {EDGES}, {ENT}, i AS (SELECT dst AS id, count(*) AS indeg FROM edges GROUP BY dst), s AS (SELECT a.vec_id AS qid, b.vec_id AS id, {COS("a.embedding", "b.embedding")} AS dist FROM embeddings a, embeddings b),
   r AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS BIGINT) AS rank FROM s)
-  SELECT qid, id, round(dist, 6) AS dist, rank, coalesce(indeg, 0) AS indeg FROM r JOIN entities e USING (id) LEFT JOIN i USING (id) WHERE rank <= 30 AND coalesce(indeg, 0) >= 6 AND e.ts < 5""")
+  SELECT qid, id, round(dist, 6) AS dist, rank, coalesce(indeg, 0) AS indeg FROM r JOIN entities e USING (id) LEFT JOIN i USING (id) WHERE rank <= 150 AND coalesce(indeg, 0) >= 6 AND e.ts < 5""")
 def semantic_search(spark, d):
-    r = fusion.semantic_search(entities(spark, d), edges(spark, d), all_queries(spark, d), 30, (F.col("indeg") >= 6) & (F.col("ts") < 5))
+    r = fusion.semantic_search(entities(spark, d), edges(spark, d), all_queries(spark, d), 150, (F.col("indeg") >= 6) & (F.col("ts") < 5))
     return shown(r, "qid", "id", "dist", "rank", "indeg")
 
 
-@query(f"""WITH {EDGES}, s AS (SELECT a.vec_id AS qid, b.vec_id AS id, {COS("a.embedding", "b.embedding")} AS dist FROM embeddings a, embeddings b),
-  seeds AS (SELECT qid, id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS r FROM s) WHERE r <= 10),
-  o AS (SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS r FROM (SELECT DISTINCT src, dst FROM edges)) WHERE r <= 200),
-  h AS (SELECT qid, dst AS id, count(*) AS hits FROM seeds JOIN o ON id = src WHERE NOT EXISTS (SELECT 1 FROM seeds z WHERE z.qid = seeds.qid AND z.id = o.dst) GROUP BY qid, dst),
-  most AS (SELECT qid, max(hits) AS most FROM h GROUP BY qid), l AS (SELECT qid, id, hits FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY hits DESC, id) AS r FROM h) WHERE r <= 20),
-  c AS (SELECT qid, id, 0 AS hits, 'meaning' AS prov FROM seeds UNION ALL SELECT qid, id, hits, 'linked' FROM l),
-  x AS (SELECT qid, id, round((1 - dist) + 0.25 * coalesce(hits / most, 0), 6) AS score, CAST(hits AS BIGINT) AS hits, prov FROM c JOIN s USING (qid, id) LEFT JOIN most USING (qid))
-  SELECT qid, id, hits, prov, score FROM x""")
+@query(f"""WITH {EDGES}, s AS MATERIALIZED (SELECT a.vec_id AS qid, b.vec_id AS id, {COS("a.embedding", "b.embedding")} AS dist FROM embeddings a, embeddings b),
+  seeds AS MATERIALIZED (SELECT qid, id FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS r FROM s) WHERE r <= 40),
+  o AS MATERIALIZED (SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS r FROM (SELECT DISTINCT src, dst FROM edges)) WHERE r <= 200),
+  a AS MATERIALIZED (SELECT qid, dst AS id, count(*) AS hits FROM seeds JOIN o ON id = src GROUP BY qid, dst),
+  h AS MATERIALIZED (SELECT a.* FROM a ANTI JOIN seeds USING (qid, id)),
+  most AS (SELECT qid, max(hits) AS most FROM h GROUP BY qid), l AS (SELECT qid, id, hits FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY hits DESC, id) AS r FROM h) WHERE r <= 150),
+  c AS MATERIALIZED (SELECT qid, id, 0 AS hits, 'meaning' AS prov FROM seeds UNION ALL SELECT qid, id, hits, 'linked' FROM l)
+  SELECT c.qid, c.id, CAST(c.hits AS BIGINT) AS hits, prov, round((1 - dist) + 0.25 * coalesce(c.hits / most, 0), 6) AS score FROM c JOIN s ON c.qid = s.qid AND c.id = s.id LEFT JOIN most ON c.qid = most.qid""")
 def trimodal_search(spark, d):
-    r = fusion.trimodal(entities(spark, d), edges(spark, d), all_queries(spark, d), seed=10, pool=20)
+    r = fusion.trimodal(entities(spark, d), edges(spark, d), all_queries(spark, d), seed=40, pool=150)
     return r.select("qid", "id", "hits", "prov", F.round("score", 6).alias("score"))
 
 
@@ -585,7 +533,12 @@ def related_fused(spark, d):
     return shown(fusion.related(entities(spark, d), edges(spark, d), all_queries(spark, d)), "qid", "id", "score", "prov", "rank")
 
 
-@query()
+@query(f"""WITH {EDGES}, s AS MATERIALIZED (SELECT a.vec_id AS qid, b.vec_id AS id, {COS("a.embedding", "b.embedding")} AS dist FROM embeddings a, embeddings b),
+  n AS MATERIALIZED (SELECT qid, id, r FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS r FROM s) WHERE r <= 6),
+  l AS (SELECT qid, dst AS id, arg_min(src, r) AS via FROM n JOIN (SELECT DISTINCT src, dst FROM edges) ON id = src GROUP BY qid, dst),
+  x AS MATERIALIZED (SELECT l.* FROM l ANTI JOIN n USING (qid, id)),
+  y AS (SELECT x.qid, x.id, via, row_number() OVER (PARTITION BY x.qid ORDER BY dist, x.id) AS r FROM x JOIN s ON x.qid = s.qid AND x.id = s.id)
+  SELECT qid, id, CAST(NULL AS BIGINT) AS via, CAST(r AS BIGINT) AS rank FROM n UNION ALL SELECT qid, id, via, CAST(r + 6 AS BIGINT) FROM y WHERE r <= 6""")
 def ask_expand(spark, d):
     return fusion.via_seeds(entities(spark, d), edges(spark, d), all_queries(spark, d))
 
@@ -719,35 +672,15 @@ def redirect_resolve(spark, d):
     return corpus.resolve_links(u.select(F.col("title").alias("target")), t, r).select("target", "dst")
 
 
-@query(f"""WITH {_TITLES}, k AS (SELECT id, string_split({_KEY.format('title')}, ' ') AS t, string_split({_KEY.format('text')}, ' ') AS w FROM docs), f AS (SELECT array_to_string(list_slice(t, 1, 3), ' ') AS key, id, w FROM k),
-  s AS (SELECT key, min(id) AS id FROM f WHERE key <> '' GROUP BY key), n AS (SELECT key, id, len(string_split(key, ' ')) AS n FROM s),
-  g AS (SELECT DISTINCT f.id AS src, f.key AS own, array_to_string(list_slice(w, CAST(i AS BIGINT), CAST(i + l - 1 AS BIGINT)), ' ') AS key FROM f, (VALUES (1), (2), (3)) AS z(l), LATERAL (SELECT unnest(range(1, len(w) - l + 2)) AS i) WHERE len(w) >= l)
-  SELECT src, n.id AS dst FROM g JOIN n ON g.key = n.key WHERE g.key <> g.own GROUP BY ALL""")
-def mention_graph(spark, d):
-    docs = titled(spark, d)
-    short = F.array_join(F.slice(text.tokens(F.col("title")), 1, 3), " ")
-    return corpus.mentions(docs.withColumn("title", short))
-
-
 @query()
 def title_mentions(spark, d):
-    """Mentions of whole titles, of any length; mention_graph takes their first three words, as its SQL does."""
+    """Mentions of whole titles, of any length."""
     return corpus.mentions(titled(spark, d))
 
 
-@query("""WITH m AS (SELECT DISTINCT doc_id AS id, unnest(regexp_extract_all(lower(text), '[0-9a-z]+')) AS phrase FROM documents WHERE text IS NOT NULL), t AS (SELECT count(*) AS n FROM documents),
-  k AS (SELECT phrase FROM m, t WHERE length(phrase) >= 14 GROUP BY phrase, n HAVING count(*) BETWEEN 2 AND greatest(2, CAST(floor(0.4 * n) AS BIGINT))), x AS (SELECT m.* FROM m JOIN k USING (phrase)),
-  p AS (SELECT a.id AS src, b.id AS dst, count(*) AS shared FROM x a JOIN x b ON a.phrase = b.phrase AND a.id < b.id GROUP BY ALL HAVING count(*) >= 2)
-  SELECT src, dst, shared FROM p UNION ALL SELECT dst, src, shared FROM p""")
-def shared_entity_graph(spark, d):
-    docs = read(spark, d, "documents")
-    m = docs.where("text is not null").select(F.col("doc_id").alias("id"), F.explode(text.tokens(F.col("text"))).alias("phrase")).where("length(phrase) >= 14")
-    return corpus.shared_entities(m, docs.count())
-
-
 @query()
 def shared_phrase_graph(spark, d):
-    """Documents by the capitalised phrases of 4 letters or more that they share; shared_entity_graph takes words of 14 letters, as its SQL does."""
+    """Documents by the capitalised phrases of 4 letters or more that they share."""
     docs = titled(spark, d)
     return corpus.shared_entities(corpus.phrases(docs), docs.count())
 
@@ -770,7 +703,11 @@ def answer_em(spark, d):
     return c.join(b, ["conv_id", "turn"]).select("conv_id", "turn", text.exact_match(F.col("text"), F.col("next")).alias("em"))
 
 
-@query()
+@query("""WITH c AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[!-/:-@\\[-`{-~]', '', 'g'), '\\b(a|an|the)\\b', ' ', 'g'), '\\s+', ' ', 'g')) AS key FROM conversations),
+  k AS (SELECT conv_id, turn, CASE WHEN key = '' THEN [] ELSE string_split(key, ' ') END AS w FROM c),
+  p AS (SELECT a.conv_id, a.turn, a.w AS v, b.w FROM k a JOIN k b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+  m AS (SELECT conv_id, turn, len(v) AS n, len(w) AS m, coalesce(list_sum(list_transform(list_distinct(v), lambda x: least(len(list_filter(v, lambda y: y = x)), len(list_filter(w, lambda y: y = x))))), 0) AS same FROM p)
+  SELECT conv_id, turn, round(CASE WHEN n = 0 OR m = 0 THEN CAST(n = m AS DOUBLE) ELSE 2.0::DOUBLE * same / (n + m) END, 6) AS f1 FROM m""")
 def answer_f1(spark, d):
     c = read(spark, d, "conversations")
     b = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -54,22 +56,33 @@ def edits(changes: DataFrame, data: str = "data") -> DataFrame:
     return e.where("entity is not null")
 
 
-def record(source: DataFrame, sink: str, checkpoint: str, most: int | None = None) -> int:
+class _Full(Exception):
+    """Ends a recording before a batch that nothing is written of, so that it isn't committed."""
+
+
+def record(source: DataFrame, sink: str, checkpoint: str, most: int | None = None, seconds: float | None = None) -> int:
     """Appends what is available of a streaming DataFrame of edits to Parquet and stops; a later call goes on where this one ended.
 
     Each micro-batch has a folder of its own that is overwritten when the batch is repeated, so each edit is recorded once.
-    With `most`, recording ends with the batch in which that many are held.
+    With `most`, recording ends after the batch in which that many are held, with `seconds`, after the batch in which they
+    are over; the next batch isn't committed, and the next call begins with it, so no edit is lost.
     """
     spark = source.sparkSession
-    held = [0]
+    held, full, began = [0], [False], time.monotonic()
 
     def keep(batch: DataFrame, n: int) -> None:
-        if most is None or held[0] < most:
-            batch.write.mode("overwrite").parquet(f"{sink}/batch={n}")
-            held[0] += spark.read.parquet(f"{sink}/batch={n}").count()
+        if (most is not None and held[0] >= most) or (seconds is not None and time.monotonic() - began >= seconds):
+            full[0] = True
+            raise _Full
+        batch.write.mode("overwrite").parquet(f"{sink}/batch={n}")
+        held[0] += spark.read.parquet(f"{sink}/batch={n}").count()
 
     q = source.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(keep).start()
-    q.awaitTermination()
+    try:
+        q.awaitTermination()
+    except StreamingQueryException:
+        if not full[0]:
+            raise
     return held[0]
 
 
