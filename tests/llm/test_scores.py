@@ -52,25 +52,68 @@ def test_colliding_keys_are_told_apart(tmp_path):
     assert d.holds(np.array([7, 7, 7, 8], np.uint64), ["one", "two", "six", "one"]).tolist() == [True, True, False, False]
 
 
+def brute_dictionaries(docs, labels, plan):
+    """Both dictionaries by plain counting: every word that occurs twice, by savings, while they fit."""
+    import re
+    from collections import Counter
+
+    good = {}
+    for r in labels.collect():
+        if None not in (r["doc_id"], r["quality"], r["toxic"]):
+            good[r["doc_id"]] = good.get(r["doc_id"], True) and r["quality"] == 1 and r["toxic"] == 0
+    n, g = Counter(), Counter()
+    for r in docs.collect():
+        for w in re.split("[ \t\n\r]+", r["text"] or ""):
+            if plan.shortest <= len(w.encode()) <= plan.longest:
+                n[w] += 1
+                g[w] += good.get(r["doc_id"], False)
+
+    def made(counts):
+        rows = sorted((c * (len(w.encode()) - plan.shortest + 2), w) for w, c in counts.items() if c and n[w] > 1)
+        return b"".join(w.encode() + b" " for _, w in rows)
+
+    return made(g) or made(n), made(n)
+
+
 def test_compression_score(spark, documents, labels, odd):
-    plan = compression_score.Plan()
-    good, every = compression_score.dictionaries(compression_score.word_counts(documents, labels, plan).where("n > 1"), plan)
+    plan = compression_score.Plan(share=1.0)
+    good, every = brute_dictionaries(documents, labels, plan)
+    assert max(len(good), len(every)) <= plan.most
 
     def size(t, content):
+        bits = (len(content) + plan.piece).bit_length()
+        params = zstandard.ZstdCompressionParameters.from_level(plan.level, window_log=bits, hash_log=max(len(content).bit_length(), 17), chain_log=max(len(content).bit_length() - 1, 16), write_content_size=False, write_dict_id=False)
         d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        d.precompute_compress(level=plan.level)
-        return len(zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_dict_id=False).compress(t.encode()))
+        d.precompute_compress(compression_params=params)
+        c = zstandard.ZstdCompressor(dict_data=d, compression_params=params)
+        return sum(len(c.compress(t.encode()[i : i + plan.piece])) for i in range(0, max(len(t.encode()), 1), plan.piece))
 
-    rows = compression_score.score(documents, labels).collect()
+    rows = compression_score.score(documents, labels.unionAll(labels), plan).collect()
     assert len(rows) == documents.count()
     for r in rows:
         a, b = size(r["text"], good), size(r["text"], every)
-        assert r["score"] == pytest.approx((b - a) / b)
+        assert (r["in_domain_bytes"], r["general_bytes"]) == (a, b) and r["score"] == pytest.approx((b - a) / b)
     o = compression_score.score(odd, labels).collect()
     assert len(o) == odd.count() and all((r["score"] is None) == (r["text"] is None) for r in o)
     assert compression_score.score(odd.limit(0), labels.limit(0)).count() == 0
 
 
+def test_dictionaries_grow_with_the_words(spark, documents, labels):
+    counts = compression_score.word_counts(documents, labels, compression_score.Plan()).where("n > 1").cache()
+    sizes = [len(compression_score.dictionaries(counts, compression_score.Plan(share=s, least=1000))[1]) for s in (0.1, 0.2, 0.4)]
+    assert 1000 < sizes[0] < sizes[1] < sizes[2]
+    whole = counts.selectExpr("sum(octet_length(word) + 1)").first()[0]
+    assert all(0.9 * s * whole < x <= s * whole for s, x in zip((0.1, 0.2, 0.4), sizes, strict=True))
+
+
+def test_long_texts_stay_in_reach_of_the_dictionary():
+    plan, rng = compression_score.Plan(), np.random.default_rng(1)
+    content = bytes(rng.integers(0, 256, 50_000, np.uint8))
+    c = compression_score.compressor(content, plan)
+    far = bytes(rng.integers(0, 256, 5 << 20, np.uint8))
+    assert compression_score.size_of(c, far + content[:20_000], plan) - compression_score.size_of(c, far, plan) < 500
+
+
 def test_resampling_accuracy(spark, documents, labels):
     """Held-out: fitted on half of the labels, the model parts the other half."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))

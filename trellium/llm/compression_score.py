@@ -2,18 +2,22 @@
 
 Both dictionaries are made of the words of the corpus that save the most bytes, by counts over all
 documents: the in-domain one counts documents labelled good and not toxic, the general one counts
-every document.  Words are counted where they are read and meet by word, so what is gathered grows
-with the corpus; only the best words of each dictionary, a fixed number of bytes, come to the driver.
+every document.  Words are counted where they are read and meet by word; a word that occurs once in
+all documents saves nothing and is in no dictionary.  A dictionary's size grows with what was counted:
+`share` of the bytes of the different words, `least` at the least, and at the most `most`, the bound of
+what is broadcast; zstd's tables grow with it.  Which words are in is found from sums over ranges of
+savings, so no words but those of the dictionaries come to the driver.
 
 score = (general size - in-domain size) / general size: positive where the in-domain model predicts
 the text better.
 
 Nulls: a null text has a null score and null sizes.  An empty text has the size of an empty frame
-under both, and score 0.  A null doc_id has no label.  Very long texts are compressed whole, and
-words of over `longest` bytes are in no dictionary.  Labels that repeat a doc_id count as good only
-if all are; ties between words go by the word.  Extra columns stay; those named like the results
-are replaced.  An empty table gives an empty table; without good labels both dictionaries are the
-general one and scores are 0.
+under both, and score 0.  A null doc_id has no label.  Very long texts are compressed whole, in pieces
+of `piece` bytes each with the dictionary, so that all of them stay in its reach; words of over
+`longest` bytes are in no dictionary.  Labels that repeat a doc_id count as good only if all are; ties
+between words go by the word.  Extra columns stay; those named like the results are replaced.  An
+empty table gives an empty table; without good labels both dictionaries are the general one and scores
+are 0.
 """
 
 from __future__ import annotations
@@ -34,7 +38,11 @@ from . import shared
 class Plan:
     """Production parameters."""
 
-    dictionary_bytes: int = 112_640
+    share: float = 0.25
+    least: int = 112_640
+    #: Two dictionaries of this size are within what may be broadcast.
+    most: int = 8 << 20
+    piece: int = 1 << 20
     level: int = 3
     #: Bytes of the words that a dictionary takes.
     shortest: int = 4
@@ -56,17 +64,31 @@ def word_counts(docs: DataFrame, labels: DataFrame, plan: Plan, text: str = "tex
     return words.groupBy("word").agg(F.count("*").alias("n"), F.sum("g").alias("good"))
 
 
+#: Ranges of savings in each factor of e.
+RANGES = 64
+
+
 def dictionaries(counts: DataFrame, plan: Plan) -> tuple[bytes, bytes]:
     """(in-domain, general), each of the words that save the most, the best at the end, where offsets are shortest."""
-    most = plan.dictionary_bytes // (plan.shortest + 1) + 1
+    bytes_ = F.octet_length("word") + 1
 
     def best(column: str) -> bytes:
         gain = F.col(column) * (F.octet_length("word") - (plan.shortest - 2))
-        rows = counts.where(F.col(column) > 0).select("word", gain.alias("gain")).orderBy(F.col("gain").desc(), "word").limit(most).collect()
+        words = counts.where(F.col(column) > 0).select("word", gain.alias("gain"), F.floor(F.log(gain) * RANGES).cast("int").alias("range"))
+        ranges = sorted(((r["range"], r["b"]) for r in words.groupBy("range").agg(F.sum(bytes_).alias("b")).collect()), reverse=True)
+        limit = min(max(plan.least, int(plan.share * sum(b for _, b in ranges))), plan.most)
+        left, keep = limit, F.lit(False)
+        for r, b in ranges:
+            if b > left:  # of the range at the border, the part that fits, by hash
+                keep = keep | ((F.col("range") == r) & (F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < int(left / b * (1 << 20))))
+                break
+            left -= b
+            keep = keep | (F.col("range") == r) if r == ranges[0][0] else F.col("range") >= r
+        rows = sorted((r["gain"], r["word"]) for r in words.where(keep).select("gain", "word").collect())
         out, size = [], 0
-        for r in rows:
-            w = r["word"].encode() + b" "
-            if size + len(w) <= plan.dictionary_bytes:
+        for _, word in reversed(rows):
+            w = word.encode() + b" "
+            if size + len(w) <= limit:
                 out.append(w)
                 size += len(w)
         return b"".join(reversed(out))
@@ -75,6 +97,22 @@ def dictionaries(counts: DataFrame, plan: Plan) -> tuple[bytes, bytes]:
     return best("good") or general, general
 
 
+def compressor(content: bytes, plan: Plan) -> zstandard.ZstdCompressor:
+    """A compressor whose tables hold all positions of the dictionary, and whose window reaches over it and a piece of text."""
+    if not content:
+        return zstandard.ZstdCompressor(level=plan.level, write_content_size=False)
+    bits = (len(content) + plan.piece).bit_length()
+    bits = {"window_log": max(bits, 17), "hash_log": max(len(content).bit_length(), 17), "chain_log": max(len(content).bit_length() - 1, 16)}
+    params = zstandard.ZstdCompressionParameters.from_level(plan.level, **bits, write_content_size=False, write_dict_id=False)
+    d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    d.precompute_compress(compression_params=params)
+    return zstandard.ZstdCompressor(dict_data=d, compression_params=params)
+
+
+def size_of(c: zstandard.ZstdCompressor, text: bytes, plan: Plan) -> int:
+    return sum(len(c.compress(text[i : i + plan.piece])) for i in range(0, max(len(text), 1), plan.piece))
+
+
 def score(docs: DataFrame, labels: DataFrame, plan: Plan = Plan(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs with in_domain_bytes, general_bytes and score."""
     counts = shared.checkpoint(word_counts(docs, labels, plan, text, doc_id).where("n > 1"))
@@ -83,19 +121,12 @@ def score(docs: DataFrame, labels: DataFrame, plan: Plan = Plan(), text: str = "
     kept = shared.besides(docs.schema.fields, *dict(added))
     names = [f.name for f in kept]
 
-    def compressor(content: bytes) -> zstandard.ZstdCompressor:
-        if not content:
-            return zstandard.ZstdCompressor(level=plan.level, write_content_size=False)
-        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        d.precompute_compress(level=plan.level)
-        return zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_dict_id=False)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        inside, general = map(compressor, both.value)
+        inside, general = (compressor(c, plan) for c in both.value)
         for b in batches:
             raw = b.column(text).cast(pa.binary()).to_pylist()
-            i = [None if t is None else len(inside.compress(t)) for t in raw]
-            g = [None if t is None else len(general.compress(t)) for t in raw]
+            i = [None if t is None else size_of(inside, t, plan) for t in raw]
+            g = [None if t is None else size_of(general, t, plan) for t in raw]
             s = [None if x is None else (y - x) / y for x, y in zip(i, g, strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(i, pa.int64()), pa.array(g, pa.int64()), pa.array(s, pa.float64())], names=[*names, *dict(added)])
 

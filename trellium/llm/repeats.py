@@ -6,10 +6,11 @@ that two documents or more have; a text then sends only its windows of those, ne
 same hash as one slice, to the task of the hash.  No pair of documents is ever formed.
 
 There the distinct slices are indexed by a Burrows-Wheeler transform kept as runs, with the suffix
-positions at both ends of each run as samples.  Common prefixes need comparing only at run heads;
-between two samples they fall by one for each word (they are reducible), so the matching statistics
-of a repetitive collection stream out of as many comparisons as there are runs.  Suffixes that
-share `min_words` words form a class, and the windows of a class with two documents are marked.
+positions at both ends of each run as samples; the suffix order itself is let go.  Between two samples
+common prefixes fall by one for each word and the neighbour in suffix order moves on by one (they are
+reducible), so the matching statistics of a repetitive collection stream out over the text from as
+many comparisons as there are runs.  Suffixes that share `min_words` words form a class, found by
+following neighbours, and the windows of a class with two documents are marked.
 
 Result: (doc_id, start_word, end_word), words counted from 0 over white space, end excluded; the
 marked windows of a document as maximal spans.  All occurrences are marked, the first one too.
@@ -145,9 +146,8 @@ def _sent(docs: DataFrame, plan: Plan, parts: int) -> DataFrame:
 class RunIndex:
     """Run-compressed Burrows-Wheeler transform of some word sequences, with suffix samples at the ends of runs.
 
-    `runs`: first row, symbol and length; `head`, `tail`: suffix position at a run's first and last row.
-    `plcp` comes from the samples alone: at a run head by comparison with the row before, one less
-    at each following text position.
+    `symbol` and `length` of each run; `head`, `tail`: suffix position at its first and last row; `same`: the
+    common prefix of a run's last row with the next run's first.  Everything else comes from these, in text order.
     """
 
     def __init__(self, sequences: list[np.ndarray]):
@@ -161,16 +161,15 @@ class RunIndex:
         mask[stop] = False
         text[mask] = coded + m
         text[stop] = np.arange(m)  # a separator of its own for each, below all words
-        self.text, self.stop, self.sizes = text, stop, sizes
-        self.order = self._suffixes(text)
-        before = text[self.order - 1]
-        head = np.concatenate([[True], before[1:] != before[:-1]])
-        self.first = np.flatnonzero(head)
-        self.symbol = before[self.first]
-        self.length = np.diff(np.append(self.first, len(text)))
-        self.head = self.order[self.first]
-        self.tail = self.order[self.first + self.length - 1]
-        self.plcp = self._plcp()
+        self.stop, self.sizes, self.n = stop, sizes, len(text)
+        order = self._suffixes(text)
+        before = text[order - 1]
+        first = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
+        self.symbol = before[first]
+        self.length = np.diff(np.append(first, len(text)))
+        self.head, self.tail = order[first], order[first + self.length - 1]
+        del order, before
+        self.same = self._compare(text, self.head[1:], self.tail[:-1])
 
     @staticmethod
     def _suffixes(text: np.ndarray) -> np.ndarray:
@@ -189,12 +188,10 @@ class RunIndex:
             if new[-1] == n - 1 or step >= n:
                 return order
 
-    def _plcp(self) -> np.ndarray:
-        a, b = self.head[1:], self.tail[:-1]  # the row before a run's first is the last of the run before
-        n, text = len(self.text), self.text
-        same = np.zeros(len(a), np.int64)
-        live = np.arange(len(a))
-        depth = 0
+    @staticmethod
+    def _compare(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Common prefixes of the suffixes at a and b."""
+        n, same, live, depth = len(text), np.zeros(len(a), np.int64), np.arange(len(a)), 0
         while len(live):
             x, y = a[live] + depth, b[live] + depth
             ok = (x < n) & (y < n)
@@ -202,23 +199,29 @@ class RunIndex:
             live = live[ok]
             depth += 1
             same[live] = depth
-        at = np.concatenate([[self.head[0]], a])
-        value = np.concatenate([[0], same])
+        return same
+
+    def _stream(self, at: np.ndarray, value: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """From samples at some text positions: common prefix with, and position of, the neighbour of every text position."""
         by = np.argsort(at)
-        at, value = at[by], value[by]
-        pred = np.searchsorted(at, np.arange(n), "right") - 1
-        return np.where(pred >= 0, value[pred] - (np.arange(n) - at[pred]), 0)
+        at, value, other = at[by], value[by], other[by]
+        place = np.arange(self.n)
+        j = np.searchsorted(at, place, "right") - 1
+        past = place - at[j]
+        got = np.where(j >= 0, np.maximum(value[j] - past, 0), 0)
+        return got, np.where(got > 0, other[j] + past, place)
+
+    def before(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text position, the common prefix with the suffix before it in order, and where that is (itself if nothing is common)."""
+        return self._stream(self.head, np.concatenate([[0], self.same]), np.concatenate([[self.head[0]], self.tail[:-1]]))
 
-    def lcp(self) -> np.ndarray:
-        """Common prefix of each row with the row before."""
-        return self.plcp[self.order]
+    def after(self) -> tuple[np.ndarray, np.ndarray]:
+        """The same for the suffix after it."""
+        return self._stream(self.tail, np.append(self.same, 0), np.append(self.head[1:], self.tail[-1]))
 
     def matching_statistics(self) -> np.ndarray:
         """Of each text position, the longest prefix that occurs elsewhere in the collection."""
-        lcp = self.lcp()
-        out = np.empty(len(lcp), np.int64)
-        out[self.order] = np.maximum(lcp, np.append(lcp[1:], 0))
-        return out
+        return np.maximum(self.before()[0], self.after()[0])
 
 
 def marks(sequences: list[np.ndarray], least: np.ndarray, most: np.ndarray, min_words: int) -> list[np.ndarray]:
@@ -226,13 +229,15 @@ def marks(sequences: list[np.ndarray], least: np.ndarray, most: np.ndarray, min_
     index = RunIndex(sequences)
     long = index.matching_statistics() >= min_words
     owner = np.repeat(np.arange(len(sequences)), index.sizes + 1)
-    rows = owner[index.order]
-    group = np.cumsum(index.lcp() < min_words) - 1
-    start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    lo, hi = np.minimum.reduceat(least[rows], start), np.maximum.reduceat(most[rows], start)
-    across = np.empty(len(rows), bool)
-    across[index.order] = (lo != hi)[group]
-    at = np.arange(len(rows)) - np.repeat(np.concatenate([[0], index.stop[:-1] + 1]), index.sizes + 1)
+    common, neighbour = index.before()
+    top = np.where(common >= min_words, neighbour, np.arange(index.n))  # each class has one position that leads to no other
+    while not np.array_equal(up := top[top], top):
+        top = up
+    lo, hi = np.full(index.n, np.iinfo(np.int64).max), np.full(index.n, np.iinfo(np.int64).min)
+    np.minimum.at(lo, top, least[owner])
+    np.maximum.at(hi, top, most[owner])
+    across = (lo != hi)[top]
+    at = np.arange(index.n) - np.repeat(np.concatenate([[0], index.stop[:-1] + 1]), index.sizes + 1)
     fits = at + min_words <= index.sizes[owner]
     hit = np.flatnonzero(across & fits & (long | (least != most)[owner]))
     bounds = np.searchsorted(owner[hit], np.arange(len(sequences) + 1))
@@ -274,6 +279,7 @@ def _spans(df: DataFrame, plan: Plan) -> DataFrame:
                     places.append((i, s))
         if group:
             yield one(group)
+        kernels.release()
 
     return df.mapInArrow(run, "id bigint, s bigint, e bigint")
 
