@@ -41,7 +41,7 @@ class Plan:
     share: float = 0.25
     least: int = 112_640
     #: Two dictionaries of this size are within what may be broadcast.
-    most: int = 8 << 20
+    most: int = 4 << 20
     piece: int = 1 << 20
     level: int = 3
     #: Bytes of the words that a dictionary takes.
@@ -84,10 +84,10 @@ def dictionaries(counts: DataFrame, plan: Plan) -> tuple[bytes, bytes]:
                 break
             left -= b
             keep = keep | (F.col("range") == r) if r == ranges[0][0] else F.col("range") >= r
-        rows = sorted((r["gain"], r["word"]) for r in words.where(keep).select("gain", "word").collect())
+        rows = words.where(keep).select(F.col("gain").cast("bigint").alias("gain"), F.col("word").cast("binary").alias("word")).toArrow().sort_by([("gain", "descending"), ("word", "descending")])
         out, size = [], 0
-        for _, word in reversed(rows):
-            w = word.encode() + b" "
+        for word in rows.column("word").to_pylist():
+            w = word + b" "
             if size + len(w) <= limit:
                 out.append(w)
                 size += len(w)
