@@ -22,7 +22,7 @@ from . import kernels, pretokens
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: A worker forgets its pretokens when it holds so many; they are worked out anew, so results don't depend on it.
-KEEP = 300_000
+KEEP = 150_000
 #: Bytes of text whose pretokens are looked up together, and bytes of one round of array passes.
 ROUND, INNER = 1 << 20, 1 << 18
 
@@ -119,7 +119,7 @@ class Backtracker:
                     if before < 0:
                         ok = True
                     elif (ok := fits.get((before, token))) is None:
-                        if len(fits) > 100_000:
+                        if len(fits) > 50_000:
                             fits.clear()
                         ok = fits[before, token] = self._fit(before, token)
                     if ok:
