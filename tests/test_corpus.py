@@ -193,3 +193,9 @@ def test_title_mentions_over_all_documents(spark):
     want = {(i, dst) for i, title, text in docs for key, dst in first.items() if key != words(title) and f" {key} " in f" {words(text)} "}
     got = [tuple(r) for r in queries.QUERIES["title_mentions"](spark, d).collect()]
     assert len(got) == len(want) and set(got) == want and want
+
+
+def test_link_titles_are_decoded(spark):
+    html = '<p><a href="./Caf%C3%A9_au_lait#x">a</a> <a href="/wiki/50%25">b</a></p>'
+    pages = spark.createDataFrame([(1, html)], "page_id long, html string")
+    assert corpus.sanitize(pages).first()["links"] == ["Café au lait", "50%"]
