@@ -134,6 +134,26 @@ def test_ngram_join_where_hashes_meet(spark, monkeypatch):
     assert classes(ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
 
 
+def test_ngrams_of_many_texts_take_little_memory():
+    """One megabyte of texts, hashed in parts: the same sets as of each text alone, and no arrays of 8 bytes for each letter of all."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    texts = [" ".join(f"w{(i * 31 + j * j) % 4999}" for j in range(300)) for i in range(600)] + ["", "a b", " "]
+    col = pa.array(texts)
+    assert 900_000 < sum(map(len, texts)) < 1 << 20
+    tracemalloc.start()
+    ((lo, grams, bounds),) = ngram_join.sets(col, 3)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert lo == 0 and len(bounds) == len(texts) + 1 and most < 18e6
+    for i in (0, 299, 599, 600, 601, 602):
+        ((_, alone, _),) = ngram_join.sets(col.slice(i, 1), 3)
+        assert np.array_equal(grams[bounds[i] : bounds[i + 1]], alone)
+
+
 def test_keep_one(spark, documents):
     want = brute([(r["doc_id"], r["text"]) for r in documents.collect()])
     assert {r["doc_id"] for r in ngram_join.keep_one(documents).collect()} == {i for i, (c, _) in want.items() if c == i}

@@ -78,3 +78,15 @@ def test_pretokens_of_one_key(exact, monkeypatch, seen):
     assert codec.encode(pa.array(texts)).to_pylist() == [exact(t) for t in texts]
     if any(seen):
         assert codec.count(pa.array(texts)).to_pylist() == [len(exact(t)) for t in texts]
+
+
+def test_a_worker_forgets_its_codec():
+    """What encoding holds stays from one of its tasks to the next, and goes when a task of another operator ends."""
+    from trellium.llm import kernels
+
+    codec = bpe.worker_codec("own", bpe.read_ranks)
+    kernels.release()
+    assert bpe.worker_codec("own", bpe.read_ranks) is not codec
+    codec = bpe.worker_codec("own", bpe.read_ranks)
+    kernels.release(bpe.HELD)
+    assert bpe.worker_codec("own", bpe.read_ranks) is codec

@@ -24,7 +24,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: A worker forgets its pretokens when it holds so many; they are worked out anew, so results don't depend on it.
 KEEP = 150_000
 #: Bytes of text whose pretokens are looked up together, and bytes of one round of array passes.
-ROUND, INNER = 1 << 20, 1 << 18
+ROUND, INNER = 1 << 18, 1 << 17
 
 
 def read_ranks(path: str = VOCABULARY) -> list[bytes]:
@@ -352,7 +352,8 @@ def _keyed(part: np.ndarray, local: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return start, key, check
 
 
-_BY_NAME: dict[str, Codec] = {}
+HELD = "bpe"
+_BY_NAME: dict[str, Codec] = kernels.held(HELD)
 
 
 def worker_codec(name: str, tokens: Callable[[], list[bytes]]) -> Codec:

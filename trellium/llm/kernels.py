@@ -19,6 +19,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes of text that one round of array passes takes; a longer text is a round of its own.
 CHUNK_BYTES = 1 << 20
+#: Bytes of text whose words are hashed together; for a moment that takes many times as much.
+HASHED_BYTES = 1 << 18
 #: Bytes of text in one batch that a worker hands back.
 SLICE_BYTES = 4 << 20
 
@@ -50,8 +52,20 @@ def letter_hashes(letters: np.ndarray, place: np.ndarray, which: int = 0) -> np.
     return h
 
 
-def release() -> None:
-    """Gives back to the system what this worker has freed; called when a task's rows are done."""
+#: What operators hold in a worker from task to task, by the operators' names.
+_HELD: dict[str, dict] = {}
+
+
+def held(name: str) -> dict:
+    """A dict that lasts in this worker until a task ends that has no use for it."""
+    return _HELD.setdefault(name, {})
+
+
+def release(keep: str = "") -> None:
+    """Gives back to the system what this worker has freed, and what it holds for others than `keep`; called when a task's rows are done."""
+    for name, things in _HELD.items():
+        if name != keep:
+            things.clear()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -75,15 +75,17 @@ def sets(col: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Rounds of (first row, distinct n-gram hashes of all rows, bounds): each row's are sorted, bounds[i]:bounds[i + 1]."""
     raw, offsets = kernels.text_buffers(col)
     for lo, hi in kernels.rounds(offsets):
-        grams, first = kernels.per_text_ngrams(kernels.Words(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]), n)
         out, bounds = [], [0]
-        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-            g = np.sort(grams[a:b])
-            if b - a > 1:
-                g = g[np.concatenate([[True], g[1:] != g[:-1]])]
-            out.append(g)
-            bounds.append(bounds[-1] + len(g))
-        yield lo, np.concatenate(out) if out else grams, np.array(bounds)
+        for i, j in kernels.rounds(offsets[lo : hi + 1], kernels.HASHED_BYTES):
+            at = offsets[lo + i : lo + j + 1]
+            grams, first = kernels.per_text_ngrams(kernels.Words(raw[at[0] : at[-1]], at - at[0]), n)
+            for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+                g = np.sort(grams[a:b])
+                if b - a > 1:
+                    g = g[np.concatenate([[True], g[1:] != g[:-1]])]
+                out.append(g)
+                bounds.append(bounds[-1] + len(g))
+        yield lo, np.concatenate(out), np.array(bounds)
 
 
 class Seen:
@@ -153,10 +155,14 @@ def _count(df: DataFrame, parts: int) -> DataFrame:
                     rest.append(r)
             if rest:
                 yield packed.batch(rest)
-        h, u = packed.cat(hashes, U), packed.cat(uids, np.int64)
-        del hashes, uids
+        h = packed.cat(hashes, U)
+        del hashes
+        u = packed.cat(uids, np.int64)
+        del uids
         order = np.argsort(h, kind="stable")
-        h, u = h[order], u[order]
+        h = h[order]
+        u = u[order]
+        del order
         new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
         several = ~(new & np.append(new[1:], True))
         h, u = h[several], u[several]

@@ -30,7 +30,7 @@ def _append(df: DataFrame, path: str, text: str, results: list[tuple[str, T.Data
         for batch in kernels.sliced(batches, text):
             made = work(codec, batch)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], names=[*keep, *(n for n, _ in results)])
-        kernels.release()
+        kernels.release(bpe.HELD)
 
     return df.mapInArrow(run, schema)
 
