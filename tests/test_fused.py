@@ -178,3 +178,28 @@ def test_arguments(bad):
     Request(k=1, m_seeds=10000)
     with pytest.raises(ValueError):
         Settings(graph_work_budget=1)
+
+
+def test_source_ranking_asks_for_few_sources(spark, monkeypatch):
+    import random
+
+    from trellium.operators import fusion, vector
+
+    rng, asked = random.Random(4), []
+    knn = vector.knn
+    monkeypatch.setattr(vector, "knn", lambda q, e, k, *a, **b: asked.append(k) or knn(q, e, k, *a, **b))
+    at = {i: rng.uniform(-9, 9) for i in range(60)}
+    ts = {i: i % 7 for i in at}
+    e = spark.createDataFrame([(i, ts[i], [x]) for i, x in at.items()], "id long, ts int, embedding array<double>")
+    links = [(i, (i * 7 + j * 13) % 60, j) for i in at for j in range(1, 4)]
+    q = e.select(F.col("id").alias("qid"), F.col("embedding").alias("qvec"))
+    got = {}
+    for r in fusion.source_ranked(e, spark.createDataFrame(links, "src long, dst long, seq long"), q, F.col("ts") < 5, 4).orderBy("rank").collect():
+        got.setdefault(r["qid"], []).append(r["id"])
+    want = {}
+    for i in at:
+        near = sorted(at, key=lambda s: (abs(at[s] - at[i]), s))
+        found = [d for s in near for _, d, _ in sorted((x for x in links if x[0] == s), key=lambda x: x[2]) if ts[d] < 5]
+        want[i] = list(dict.fromkeys(found))[:4]
+    assert got == want
+    assert max(asked) <= 3 * 3 + 1

@@ -5,10 +5,11 @@ from __future__ import annotations
 import heapq
 from collections import defaultdict, deque
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trellium.operators.grouped import each_query
 from trellium.operators.traverse import bfs
 
 
@@ -79,16 +80,21 @@ def reserves(seeds: DataFrame, edges: DataFrame, hops: int, alpha: float, r_max:
     """
     starts = seeds.select("qid", F.col("vid").alias("seed"))
     near = starts.select("qid", F.col("seed").alias("vid")).unionAll(bfs(edges, starts, hops - 1).select("qid", "vid")) if hops else starts.select("qid", F.col("seed").alias("vid")).limit(0)
-    part = near.distinct().join(edges.select("src", "dst", "seq"), F.col("vid") == F.col("src")).select(F.col("qid").alias("q"), "src", "dst", "seq")
+    part = near.distinct().join(edges.select("src", "dst", "seq"), F.col("vid") == F.col("src"))
+    none = F.lit(None).cast("double")
+    rows = seeds.select("qid", F.lit(0).alias("kind"), F.col("ord").cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.col("vid").alias("v"), F.col("dist").cast("double").alias("x"))
+    rows = rows.unionByName(part.select("qid", F.lit(1).alias("kind"), F.col("src").alias("a"), F.col("seq").cast("long").alias("b"), F.col("dst").alias("v"), none.alias("x")))
 
-    def run(key: tuple, s: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        s = s.sort_values("ord")
-        e = e.sort_values(["src", "seq", "dst"])
-        out: dict[int, list[int]] = {int(v): d["dst"].astype(int).tolist() for v, d in e.groupby("src")}
-        w = 1.0 / (1.0 + s["dist"])
-        mass = list(zip(s["vid"].astype(int), (w / w.sum() if len(w) else w).astype(float), strict=True))
-        got, steps, censored = push(mass, out, hops, alpha, r_max, budget)
-        return pd.DataFrame({"qid": key[0], "vid": list(got), "reserve": list(got.values()), "steps": steps, "censored": censored})
+    def run(qid: int, cols: list[list]) -> list[tuple]:
+        mass: list[tuple[int, float]] = []
+        out: dict[int, list[int]] = defaultdict(list)
+        for kind, a, _, v, x in zip(*cols, strict=True):
+            if kind:
+                out[a].append(v)
+            else:
+                mass.append((v, 1.0 / (1.0 + x)))
+        total = np.array([w for _, w in mass]).sum()
+        got, steps, censored = push([(v, w / total) for v, w in mass], out, hops, alpha, r_max, budget)
+        return [(qid, v, r, steps, censored) for v, r in got.items()]
 
-    schema = "qid long, vid long, reserve double, steps long, censored boolean"
-    return seeds.groupBy("qid").cogroup(part.groupBy("q")).applyInPandas(run, schema)
+    return each_query(rows, ["kind", "a", "b", "v"], run, "qid long, vid long, reserve double, steps long, censored boolean")
