@@ -203,8 +203,8 @@ def vector_first(entities: DataFrame, queries: DataFrame, request: Request, sett
 def _fetched(entities: DataFrame, queries: DataFrame, request: Request, members: DataFrame) -> DataFrame:
     """members(qid, id, ...) that pass the filter, with their distance."""
     ok = _usable(passing(entities, request.where)).select("id", "embedding")
-    d = distance.BY_METRIC[request.metric](F.col("embedding"), distance.checked(F.col("embedding"), F.col("qvec")))
-    return members.join(ok, "id").join(queries.select("qid", "qvec"), "qid").withColumn("dist", d).drop("embedding", "qvec").where("dist is not null")
+    dist = vector.measured(members, queries, ok, request.metric)
+    return dist.join(members, ["qid", "id"]) if len(members.columns) > 2 else dist
 
 
 def _fill(pool: DataFrame, k: int, *more: str) -> DataFrame:
@@ -230,6 +230,7 @@ def membership(entities: DataFrame, g: Graph, queries: DataFrame, request: Reque
     took = cut(took.withColumn("left", F.lit(budget) - F.coalesce(F.sum("steps").over(turn), F.lit(0))))
     used = took.groupBy("qid").agg(F.least(F.sum("steps"), F.lit(budget)).alias("graph_examined"), (F.sum("steps") >= budget).alias("graph_censored"))
     members = found.join(took.select("qid", "seed", "left"), ["qid", "seed"]).where("depth = 0 or ord <= left").select("qid", F.col("vid").alias("id")).distinct()
+    members = cut(members)
     streamed = s.passers.select("qid", "id", "dist", "rank")
     bridges = cut(_fetched(entities, queries, request, members))
     extra = used.join(bridges.groupBy("qid").agg(F.count("*").alias("bridges")), "qid", "left")
