@@ -130,3 +130,25 @@ def test_visibility(spark):
     log = frame(spark, [(1, "insert", 0, 1, 1, 0), (2, "insert", 0, 2, 1, 1), (3, "delete", 0, 1, 1, 0), (4, "delete", 0, 2, 1, 1)], "txn long, op string, src long, dst long, type_id int, seq long")
     seen = lambda done: [r["dst"] for r in gs.visible(log, frame(spark, [(t, t in done) for t in range(1, 5)], "txn long, committed boolean")).collect()]
     assert seen({1, 2, 3}) == [2] and seen({1}) == [1] and seen(set()) == [] and sorted(seen({1, 2})) == [1, 2]
+
+
+def test_paths_beyond_the_row_limit_of_recursion(spark):
+    from trellium import queries
+
+    d = "/root/testdata/sf0.001"
+    links = {}
+    for r in queries.edges(spark, d).where("type_id = 1").collect():
+        links.setdefault(r["src"], set()).add(r["dst"])
+    want = {}
+    for a, out in links.items():
+        paths = [(a, v) for v in out]
+        ends = set(out)
+        for _ in range(2):
+            paths = [(*p, v) for p in paths for v in links.get(p[-1], ()) if v not in p]
+            ends |= {p[-1] for p in paths}
+        want[a] = len(ends)
+    spark.conf.set("spark.sql.cteRecursionRowLimit", 100)
+    try:
+        assert {r["a"]: r["n"] for r in queries.QUERIES["rel_recursive_paths"](spark, d).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")

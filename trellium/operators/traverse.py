@@ -189,6 +189,21 @@ def closure(edges: DataFrame, start: list[int], size: int, max_rounds: int = 64)
     return seen
 
 
+def path_ends(edges: DataFrame, most: int) -> DataFrame:
+    """(a, n): distinct ends of the paths from a along edges(src, dst), of `most` vertices; after its first edge none comes twice.
+
+    One join a step: a recursive query stops at a number of rows that is set for the session.
+    """
+    e = edges.select("src", "dst").where("src is not null").distinct()
+    paths = e.select(F.col("src").alias("a"), F.col("dst").alias("v"), F.array("src", "dst").alias("path"))
+    ends = paths.select("a", "v")
+    for _ in range(most - 2):
+        paths = paths.join(e, F.col("v") == F.col("src")).where(~F.array_contains("path", F.col("dst")))
+        paths = paths.select("a", F.col("dst").alias("v"), F.array_append("path", F.col("dst")).alias("path"))
+        ends = ends.unionAll(paths.select("a", "v"))
+    return ends.distinct().groupBy("a").agg(F.count("v").alias("n"))
+
+
 def power_ppr(edges: DataFrame, seeds: DataFrame, alpha: float = 0.15, rounds: int = 20) -> DataFrame:
     """(qid, vid, rank): personalised PageRank of seeds(qid, vid, mass) after a fixed number of rounds.
 
