@@ -199,3 +199,11 @@ def test_link_titles_are_decoded(spark):
     html = '<p><a href="./Caf%C3%A9_au_lait#x">a</a> <a href="/wiki/50%25">b</a></p>'
     pages = spark.createDataFrame([(1, html)], "page_id long, html string")
     assert corpus.sanitize(pages).first()["links"] == ["Café au lait", "50%"]
+
+
+def test_rank_correlation_of_flat_groups(spark):
+    from trellium.operators import evaluate
+
+    rows = [(1, 5.0, 1), (1, 5.0, 2), (2, 5.0, 3), (2, 5.0, 3), (3, 1.0, 1), (4, 1.0, 2), (4, 2.0, 1), (4, 3.0, 0), (5, None, 1), (5, None, 2)]
+    got = {r["g"]: r["rho"] for r in evaluate.spearman(spark.createDataFrame(rows, "g int, x double, y int"), "x", "y", "g").collect()}
+    assert got == {1: None, 2: None, 3: None, 4: pytest.approx(-1.0), 5: None}

@@ -78,8 +78,11 @@ def spearman(df: DataFrame, x: str, y: str, by: str) -> DataFrame:
         return F.rank().over(Window.partitionBy(by).orderBy(c)) + (F.count("*").over(Window.partitionBy(by, c)) - 1) / 2
 
     r = df.withColumn("__x", mean_rank(x)).withColumn("__y", mean_rank(y))
-    flat = (F.min("__x") == F.max("__x")) | (F.min("__y") == F.max("__y"))
-    return r.groupBy(by).agg(F.when(~flat, F.corr("__x", "__y")).alias("rho"))
+    one = Window.partitionBy(by)
+    varies = (F.min("__x").over(one) < F.max("__x").over(one)) & (F.min("__y").over(one) < F.max("__y").over(one))
+    # corr divides by zero in a flat group, even where its result isn't used
+    r = r.withColumn("__varies", varies)
+    return r.groupBy(by).agg(F.corr(F.when(F.col("__varies"), F.col("__x")), F.when(F.col("__varies"), F.col("__y"))).alias("rho"))
 
 
 def bootstrap(values: np.ndarray, rounds: int = 4000, seed: int = 7, level: float = 0.95) -> tuple[float, float, float]:
