@@ -207,3 +207,13 @@ def test_rank_correlation_of_flat_groups(spark):
     rows = [(1, 5.0, 1), (1, 5.0, 2), (2, 5.0, 3), (2, 5.0, 3), (3, 1.0, 1), (4, 1.0, 2), (4, 2.0, 1), (4, 3.0, 0), (5, None, 1), (5, None, 2)]
     got = {r["g"]: r["rho"] for r in evaluate.spearman(spark.createDataFrame(rows, "g int, x double, y int"), "x", "y", "g").collect()}
     assert got == {1: None, 2: None, 3: None, 4: pytest.approx(-1.0), 5: None}
+
+
+def test_documents_share_more_phrases_than_sixty(spark):
+    names = [f"Name{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(100)]
+    often = " and ".join(n for n in names[:70] for _ in range(2))
+    docs = spark.createDataFrame([(1, f"{often} or {' or '.join(names[70:])}"), (2, " or ".join(names[95:])), (3, "x"), (4, "y"), (5, "z")], "id long, text string")
+    p = corpus.phrases(docs)
+    assert p.where("id = 1").count() == 100
+    assert {tuple(r) for r in corpus.shared_entities(p, 5).collect()} == {(1, 2, 5), (2, 1, 5)}
+    assert corpus.shared_entities(p.limit(0), 5).count() == 0
