@@ -217,3 +217,8 @@ def test_documents_share_more_phrases_than_sixty(spark):
     assert p.where("id = 1").count() == 100
     assert {tuple(r) for r in corpus.shared_entities(p, 5).collect()} == {(1, 2, 5), (2, 1, 5)}
     assert corpus.shared_entities(p.limit(0), 5).count() == 0
+
+
+@pytest.mark.parametrize(("raw", "want"), [("ßa_b", "ẞa b"), ("ŉa", "ŉa"), ("ﬁx", "ﬁx"), ("éa", "Éa"), (" a ", "A")])
+def test_titles_keep_one_first_letter(spark, raw, want):
+    assert col1(spark, raw, text.normalize_title) == want
